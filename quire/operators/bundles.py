@@ -69,16 +69,17 @@ def write_bundle_table(blocks: DataFrame, path: str) -> None:
     blocks.write.mode("overwrite").partitionBy("doc_type").parquet(path)
 
 
-def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+def read_bundles(spark: SparkSession, path: str, partitioned: bool = False) -> DataFrame:
     """SRC10: bundle text files -> (doc_type, file, block_no, url, text,
     crawled_at, first_url).
 
-    Works for files written by :func:`write_bundles` (doc_type from the
-    ``doc_type=`` folder) and for plain ``<doc_type>.txt`` files (doc_type
+    Works for files written by :func:`write_bundles` (``partitioned=True``:
+    doc_type from the ``doc_type=`` folder, read as a string) and for plain ``<doc_type>.txt`` files (doc_type
     from front matter, else the file stem).  Order within a doc_type is
     (file, block_no).  Files without front matter are accepted.
     """
-    raw = spark.read.option("wholetext", "true").text(path).withColumn("file", F.input_file_name())
+    reader = spark.read.schema("value string, doc_type string") if partitioned else spark.read
+    raw = reader.text(path, wholetext=True).withColumn("file", F.input_file_name())
     has_dir_type = "doc_type" in raw.columns
     fm = F.regexp_extract("value", r"^---\n([\s\S]*?)\n---\n\n", 1)
     body = F.regexp_replace("value", r"^---\n[\s\S]*?\n---\n\n", "")

@@ -368,6 +368,8 @@ SELECT dp.doc_type, dp.ord, dp.url, dp.ord = f.first_ord AS is_first,
        || '# Page: ' || dp.url || {NL} || {NL} || dp.text || {NL} || {NL} || repeat('=', 80) || {NL} || {NL} AS block
 FROM dp JOIN f USING (doc_type)"""
 
+BUNDLE_ROUNDTRIP = f"WITH {DOC_PAGES} SELECT doc_type, url, text FROM dp"
+
 PAGES_PER_DOC_TYPE = f"""WITH {DOC_PAGES}
 SELECT doc_type, count(*) AS page_count, count(*) FILTER (WHERE text = '') AS empty_pages FROM dp GROUP BY doc_type"""
 
@@ -456,6 +458,7 @@ ORACLE: dict[str, str] = {
     "crawl_run_stats": CRAWL_RUN_STATS,
     "render_fallback": RENDER_FALLBACK,
     "bundle_blocks": BUNDLE_BLOCKS,
+    "bundle_roundtrip": BUNDLE_ROUNDTRIP,
     "pages_per_doc_type": PAGES_PER_DOC_TYPE,
     "chunk_documents": CHUNK_DOCUMENTS,
     "retrieve_lexical": RETRIEVE_LEXICAL,

@@ -169,6 +169,15 @@ def bundle_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.bundle_blocks(D.doc_pages(spark, sf_dir), D.CRAWLED_AT)
 
 
+def bundle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK1 then SRC10: write the bundles to the shared folder, read them back."""
+    from quire.session import scratch_path
+
+    out = scratch_path(spark, "bundles")
+    B.write_bundles(B.bundle_blocks(D.doc_pages(spark, sf_dir), D.CRAWLED_AT), out)
+    return B.read_bundles(spark, out, partitioned=True).select("doc_type", "url", "text")
+
+
 def pages_per_doc_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.pages_per_doc_type(D.doc_pages(spark, sf_dir))
 
@@ -227,6 +236,7 @@ QUERIES: dict[str, Query] = {
     "crawl_run_stats": crawl_run_stats,
     "render_fallback": render_fallback,
     "bundle_blocks": bundle_blocks,
+    "bundle_roundtrip": bundle_roundtrip,
     "pages_per_doc_type": pages_per_doc_type,
     "markdown_pages": markdown_pages,
     "chunk_documents": chunk_documents,

@@ -30,7 +30,7 @@ class RegistryError(ValueError):
 
 def _read_document(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.option("wholetext", "true").text(path)
+        return spark.read.text(path, wholetext=True)
     except AnalysisException:
         return None
 

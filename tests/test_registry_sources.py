@@ -61,3 +61,9 @@ def test_export_roundtrip(spark, tmp_path):
     R.export_store_registry(df, out)
     back = R.scan_store_registry_lines(spark, out)
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
+
+
+def test_multiline_json_document(spark, tmp_path):
+    doc = {"apis": {"A": {"name": "A", "url": "https://a/"}, "B": {"name": "B", "url": "https://b/"}}}
+    df = R.scan_url_registry(spark, write(tmp_path, "u.json", json.dumps(doc, indent=2)))
+    assert [r.keyword for r in df.orderBy("pos").collect()] == ["A", "B"]
