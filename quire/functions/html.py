@@ -30,19 +30,28 @@ TEXT_RATIO_THRESHOLD = 0.1
 # --------------------------------------------------------------------------
 
 # Python's str.isspace() set, so stripping matches str.strip().
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
 WS = r"[\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
-# Comments, script and style elements, in document order (leftmost wins).
+# Invisible parts: comments, script and style elements (an unterminated one
+# runs to the end), in document order (leftmost match wins).
 INVISIBLE = (
-    r"(?is)<!--.*?-->"
-    r"|<script\b[^>]*>.*?</script\s*>|<script\b[^>]*>.*"
-    r"|<style\b[^>]*>.*?</style\s*>|<style\b[^>]*>.*"
+    r"(?is)<(?:!--.*?-->"
+    r"|script\b[^>]*>.*?</script\s*>|script\b[^>]*>.*"
+    r"|style\b[^>]*>.*?</style\s*>|style\b[^>]*>.*)"
 )
 TAG = r"<[A-Za-z/!?][^>]*>"
-# A tag together with the whitespace (and &nbsp;) around it: removing this
-# equals stripping every text node and joining the nodes with ''.
-TAG_WITH_WS = r"(?:" + WS + r"|&nbsp;)*" + TAG + r"(?:" + WS + r"|&nbsp;)*"
-EDGE_WS = r"^(?:" + WS + r"|&nbsp;)+|(?:" + WS + r"|&nbsp;)+$"
+# One pass removes every invisible element and every tag together with the
+# whitespace (and &nbsp;) around it: what is left are the text nodes, each
+# stripped at its tag boundaries and joined with ''.
+_EDGE = r"(?:" + WS + r"|&nbsp;)*"
+NON_TEXT = (
+    r"(?is)" + _EDGE + r"<(?:!--.*?-->"
+    r"|script\b[^>]*>.*?</script\s*>|script\b[^>]*>.*"
+    r"|style\b[^>]*>.*?</style\s*>|style\b[^>]*>.*"
+    r"|[A-Za-z/!?][^>]*>)" + _EDGE
+)
 
 # Entities decoded in text; '&amp;' must come last.
 ENTITIES = [
@@ -60,10 +69,12 @@ def _col(c) -> Column:
 
 
 def decode_entities(c) -> Column:
-    out = _col(c)
+    src = _col(c)
+    out = src
     for ent, ch in ENTITIES:
         out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    # most text has no '&': skip the replace chain for it
+    return F.when(F.instr(src, "&") > 0, out).otherwise(src)
 
 
 def strip_invisible(html) -> Column:
@@ -72,9 +83,9 @@ def strip_invisible(html) -> Column:
 
 
 def visible_text(html) -> Column:
-    """Stripped text nodes concatenated without separator."""
-    no_tags = F.regexp_replace(strip_invisible(html), TAG_WITH_WS, "")
-    return decode_entities(F.regexp_replace(no_tags, EDGE_WS, ""))
+    """Stripped text nodes concatenated without separator: one regex pass,
+    entity decoding, then a character-set trim of the two document ends."""
+    return F.btrim(decode_entities(F.regexp_replace(_col(html), NON_TEXT, "")), F.lit(WS_CHARS))
 
 
 def text_ratio(html) -> Column:
@@ -88,11 +99,38 @@ def framework_regex(name: str) -> str:
     return "(?i)(?:" + "|".join(FRAMEWORK_PATTERNS[name]) + ")"
 
 
+_META = set(".^$*+?{}[]\\|()")
+
+
+def _pattern_hit(low: Column, pattern: str) -> Column:
+    """Case-insensitive search of ``pattern`` in the lower-cased html: plain
+    literals are substring tests, the rest regexes."""
+    if not any(ch in _META for ch in pattern):
+        return low.contains(pattern.lower())
+    return low.rlike(pattern if pattern == pattern.lower() else "(?i)" + pattern)
+
+
+def framework_hits(html) -> list[Column]:
+    """One nullable name column per framework, in reporting order; the html
+    is lower-cased once (shared by all tests in the projection)."""
+    low = F.lower(_col(html))
+    out = []
+    for name, patterns in FRAMEWORK_PATTERNS.items():
+        cond = _pattern_hit(low, patterns[0])
+        for p in patterns[1:]:
+            cond = cond | _pattern_hit(low, p)
+        out.append(F.when(cond, F.lit(name)))
+    return out
+
+
+def framework_list(html) -> Column:
+    """Detected framework names joined by ',' ('' when none)."""
+    return F.concat_ws(",", *framework_hits(html))
+
+
 def detect_frameworks(html) -> Column:
     """Ordered array of detected framework names."""
-    h = _col(html)
-    hits = [F.when(h.rlike(framework_regex(n)), F.lit(n)) for n in FRAMEWORK_PATTERNS]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+    return F.filter(F.array(*framework_hits(html)), lambda x: x.isNotNull())
 
 
 def is_dynamic(frameworks: Column, ratio: Column) -> Column:

@@ -29,7 +29,7 @@ def page_features(pages: DataFrame, html_col: str = "html") -> DataFrame:
         U.url_netloc("url").alias("host"),
         F.length(h).cast("bigint").alias("html_len"),
         F.length(vt).cast("bigint").alias("text_len"),
-        H.detect_frameworks(h).alias("fw"),
+        H.framework_list(h).alias("frameworks"),
     )
     ratio = F.when(F.col("html_len") == 0, F.lit(0.0)).otherwise(F.col("text_len") / F.col("html_len"))
     return feats.select(
@@ -38,11 +38,20 @@ def page_features(pages: DataFrame, html_col: str = "html") -> DataFrame:
         "html_len",
         "text_len",
         ratio.alias("text_ratio"),
-        F.array_join("fw", ",").alias("frameworks"),
-        H.is_dynamic(F.col("fw"), ratio).alias("is_dynamic"),
+        "frameworks",
+        ((F.col("frameworks") != "") & (ratio < F.lit(H.TEXT_RATIO_THRESHOLD))).alias("is_dynamic"),
     )
 
 
+def with_dynamic_flag(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """All input columns plus ``is_dynamic`` -- one projection, so callers that
+    keep ``html`` (render fallback) never join it back."""
+    h = F.col(html_col)
+    n = F.length(h)
+    ratio = F.when(n == 0, F.lit(0.0)).otherwise(F.length(H.visible_text(h)) / n)
+    return pages.withColumn("is_dynamic", (H.framework_list(h) != "") & (ratio < F.lit(H.TEXT_RATIO_THRESHOLD)))
+
+
 def site_render_needs(features: DataFrame) -> DataFrame:
     """Per host: how many pages need rendering ("which sites need a browser?")."""
     return features.groupBy("host").agg(

@@ -158,9 +158,8 @@ def crawl_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def render_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = D.marked_pages(spark, sf_dir)
-    feats = C.page_features(pages).select("page_id", "is_dynamic")
-    out = R.render_fallback(pages.join(feats, "page_id"), D.renders(spark, sf_dir))
+    pages = C.with_dynamic_flag(D.marked_pages(spark, sf_dir))
+    out = R.render_fallback(pages, D.renders(spark, sf_dir))
     return out.select("page_id", "url", "is_dynamic", "render_state", "content_kind",
                       F.length("content").cast("bigint").alias("content_len"), "render_error")
 

@@ -97,7 +97,8 @@ def strip_invisible(h: str) -> str:
 
 
 def visible_text(h: str) -> str:
-    return decode_entities(rx_replace(rx_replace(strip_invisible(h), H.TAG_WITH_WS), H.EDGE_WS))
+    ws_sql = " || ".join(f"chr({ord(c)})" for c in H.WS_CHARS)
+    return f"trim({decode_entities(rx_replace(h, H.NON_TEXT))}, {ws_sql})"
 
 
 def frameworks(h: str) -> str:

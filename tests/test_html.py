@@ -115,3 +115,9 @@ def test_site_render_needs_counts(spark):
         spark.createDataFrame(pages, "page_id long, url string, html string"))).collect()}
     assert (out["a.org"].n_pages, out["a.org"].n_dynamic, out["a.org"].n_static) == (2, 1, 1)
     assert (out["b.org"].n_pages, out["b.org"].n_dynamic) == (1, 0)
+
+
+def test_text_nodes_around_removed_script_are_stripped_separately(spark):
+    html = "<p>text1 <script>x()</script> text2 <!-- c --> text3</p>  tail &nbsp;"
+    got = spark.createDataFrame([(html,)], "h string").select(H.visible_text("h").alias("t")).first().t
+    assert got == ref(html)[0] == "text1text2text3tail"
