@@ -7,10 +7,11 @@ Level-synchronous breadth-first search over an edge table, keyed by
 
 * One Spark job per level; the loop is bounded by ``max_depth`` and stops
   early on an empty frontier (a cheap ``isEmpty`` on the checkpointed level).
-* The edge table is hash-partitioned on ``src`` and checkpointed once, so
-  every level joins it without re-shuffling it -- only the (small) frontier
-  moves.  AQE may still switch a level to a broadcast of the frontier and
-  splits a skewed hot node.
+* The edge table is de-duplicated and checkpointed once.  Each level joins
+  the frontier to it on ``src``: while the frontier is small AQE turns the
+  join into a broadcast of the frontier (the edge table is only scanned,
+  never shuffled); a large frontier gets a sort-merge join, and AQE splits a
+  skewed hot node.
 * Each level is cut from its lineage with a reliable ``checkpoint()`` in the
   shared ``spark.checkpoint.dir`` so a lost executor never replays earlier
   levels.
@@ -33,12 +34,11 @@ from quire.session import checkpoint_root
 DEFAULT_MAX_DEPTH = 3
 
 
-def prepare_edges(edges: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """Distinct (src, dst) hash-partitioned on src, checkpointed once."""
-    spark = edges.sparkSession
-    checkpoint_root(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return edges.select("src", "dst").distinct().repartition(n, "src").checkpoint(eager=True)
+def prepare_edges(edges: DataFrame) -> DataFrame:
+    """Distinct (src, dst), checkpointed once to the shared folder so every
+    level reads the materialised edge table instead of re-deriving it."""
+    checkpoint_root(edges.sparkSession)
+    return edges.select("src", "dst").distinct().checkpoint(eager=True)
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH,
