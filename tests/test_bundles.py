@@ -33,13 +33,13 @@ def test_block_layout_and_roundtrip(spark, tmp_path):
 def test_read_plain_bundle_files(spark, tmp_path):
     d = tmp_path / "docs"
     d.mkdir()
-    (d / "Arduino Servo.txt").write_text(
-        "---\ndoc_type: Arduino Servo\ncrawled_at: 2025/11/17 19:10:09\nfirst_url: https://a/\n---\n\n"
+    (d / "Servo Lib.txt").write_text(
+        "---\ndoc_type: Servo Lib\ncrawled_at: 2025/11/17 19:10:09\nfirst_url: https://a/\n---\n\n"
         f"# Page: https://a/\n\nText A\n\n{SEP}\n\n# Page: https://a/b\n\n\n\n{SEP}\n\n", encoding="utf-8")
     (d / "plain.txt").write_text(f"# Page: https://p/\n\nNo front matter\n\n{SEP}\n\n", encoding="utf-8")
     got = sorted((r.doc_type, r.block_no, r.url, r.text, r.crawled_at) for r in B.read_bundles(spark, str(d)).collect())
-    assert got == [("Arduino Servo", 0, "https://a/", "Text A", "2025/11/17 19:10:09"),
-                   ("Arduino Servo", 1, "https://a/b", "", "2025/11/17 19:10:09"),
+    assert got == [("Servo Lib", 0, "https://a/", "Text A", "2025/11/17 19:10:09"),
+                   ("Servo Lib", 1, "https://a/b", "", "2025/11/17 19:10:09"),
                    ("plain", 0, "https://p/", "No front matter", None)]
 
 

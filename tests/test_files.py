@@ -83,16 +83,16 @@ def test_load_store_all_or_nothing(spark):
 
 def test_corpus_listing(spark, tmp_path):
     root = tmp_path / "docs"
-    (root / "gemini").mkdir(parents=True)
-    (root / "gemini" / "sub").mkdir()
-    (root / "gas.txt").write_text("x")
-    (root / "gemini" / "a.txt").write_text("xx")
-    (root / "gemini" / "sub" / "b.txt").write_text("xxx")
-    (root / "gemini" / "skip.md").write_text("no")
+    (root / "alpha").mkdir(parents=True)
+    (root / "alpha" / "sub").mkdir()
+    (root / "beta.txt").write_text("x")
+    (root / "alpha" / "a.txt").write_text("xx")
+    (root / "alpha" / "sub" / "b.txt").write_text("xxx")
+    (root / "alpha" / "skip.md").write_text("no")
     got = sorted((r.name, r.size, r.doc_type) for r in scan_corpus_files(spark, str(root)).collect())
-    assert got == [("a.txt", 2, "gemini"), ("b.txt", 3, "sub"), ("gas.txt", 1, "gas")]
-    typed = sorted((r.name, r.doc_type) for r in scan_corpus_files_of_type(spark, str(root), "gemini").collect())
-    assert typed == [("a.txt", "gemini"), ("b.txt", "gemini")]
+    assert got == [("a.txt", 2, "alpha"), ("b.txt", 3, "sub"), ("beta.txt", 1, "beta")]
+    typed = sorted((r.name, r.doc_type) for r in scan_corpus_files_of_type(spark, str(root), "alpha").collect())
+    assert typed == [("a.txt", "alpha"), ("b.txt", "alpha")]
     assert scan_corpus_files(spark, str(tmp_path / "none")).count() == 0
     g = gather_upload_inputs(spark, str(root), "nothing").collect()
     assert len(g) == 1 and "Crawl first" in g[0].error

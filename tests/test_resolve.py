@@ -3,8 +3,8 @@ import pytest
 
 from quire.operators.resolve import infer_doc_type, resolve_keywords
 
-REG = [(0, "Arduino Docs", "Arduino Docs", "https://docs.arduino.cc/", None),
-       (1, "M5 Docs", "M5 Docs", "https://docs.m5stack.com/ja/start", None)]
+REG = [(0, "Board Docs", "Board Docs", "https://docs.board.example/", None),
+       (1, "Kit Docs", "Kit Docs", "https://docs.kit.example/ja/start", None)]
 DDL = "pos int, keyword string, name string, url string, description string"
 
 
@@ -15,17 +15,17 @@ def resolve(spark, reg, kws):
 
 
 def test_tiers(spark):
-    got = resolve(spark, REG, ["Arduino Docs", "ARDUINO DOCS", "m5 docs", "arduino", "https://example.com/docs",
+    got = resolve(spark, REG, ["Board Docs", "BOARD DOCS", "kit docs", "board", "https://example.com/docs",
                                "nonexistent", ""])
-    assert (got["Arduino Docs"].tier, got["Arduino Docs"].url) == ("exact", "https://docs.arduino.cc/")
-    assert (got["ARDUINO DOCS"].tier, got["ARDUINO DOCS"].url) == ("case_insensitive", "https://docs.arduino.cc/")
-    assert got["m5 docs"].url == "https://docs.m5stack.com/ja/start"
-    assert (got["arduino"].tier, got["arduino"].url) == ("substring", "https://docs.arduino.cc/")
+    assert (got["Board Docs"].tier, got["Board Docs"].url) == ("exact", "https://docs.board.example/")
+    assert (got["BOARD DOCS"].tier, got["BOARD DOCS"].url) == ("case_insensitive", "https://docs.board.example/")
+    assert got["kit docs"].url == "https://docs.kit.example/ja/start"
+    assert (got["board"].tier, got["board"].url) == ("substring", "https://docs.board.example/")
     assert (got["https://example.com/docs"].tier, got["https://example.com/docs"].url) == (
         "url", "https://example.com/docs")
     nf = got["nonexistent"]
     assert nf.tier == "not_found" and nf.url is None
-    assert "not found in URL config" in nf.error and "Available keywords: Arduino Docs, M5 Docs" in nf.error
+    assert "not found in URL config" in nf.error and "Available keywords: Board Docs, Kit Docs" in nf.error
     assert got[""].error == "keyword_or_url cannot be empty"
 
 
@@ -52,9 +52,9 @@ def test_short_and_long_keywords_use_exact_gram_join(spark):
 
 
 def test_infer_doc_type_first_match_and_slug(spark):
-    reg = [(0, "FAST MCP Doc", "n", "https://gofastmcp.com/", None),
-           (1, "FAST MCP Python SDK", "n", "https://gofastmcp.com/python-sdk/", None)]
-    seeds = spark.createDataFrame([(1, "https://gofastmcp.com/python-sdk/"), (2, "https://docs.m5stack.com/en/x"),
-                                   (3, "https://gofastmcp.com")], "seed_id int, start_url string")
+    reg = [(0, "Fast Docs", "n", "https://fastdocs.example.org/", None),
+           (1, "Fast Docs SDK", "n", "https://fastdocs.example.org/python-sdk/", None)]
+    seeds = spark.createDataFrame([(1, "https://fastdocs.example.org/python-sdk/"), (2, "https://docs.kit.example/en/x"),
+                                   (3, "https://fastdocs.example.org")], "seed_id int, start_url string")
     out = {r.seed_id: r.doc_type for r in infer_doc_type(seeds, spark.createDataFrame(reg, DDL)).collect()}
-    assert out == {1: "FAST MCP Doc", 2: "docs_m5stack_com", 3: "FAST MCP Doc"}
+    assert out == {1: "Fast Docs", 2: "docs_kit_example", 3: "Fast Docs"}
