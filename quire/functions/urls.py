@@ -153,3 +153,58 @@ def file_stem(p) -> Column:
 def file_ext(p) -> Column:
     """Lower-cased last suffix with its dot, or ''."""
     return F.lower(F.regexp_extract(file_name(p), r".(\.[^.]+)$", 1))
+
+
+_DOT_SEGMENT = r"(^|/)\.\.?(/|$)"
+
+
+def with_url_join(df, base: str, href: str, out: str):
+    """DataFrame form of :func:`url_join` for large link tables.
+
+    Same result, but every URL part is a column computed once (the
+    Column form re-evaluates shared sub-expressions inside the array
+    lambdas), and root-relative hrefs without '.'/'..' segments -- nearly
+    all real links -- skip the dot-segment fold.
+    """
+    b, h = F.col(base), F.col(href)
+    b_rest = _after_netloc(_after_scheme(b))
+    h_rest = _after_scheme(h)
+    h_tail = _after_netloc(h_rest)
+    t = df.select(
+        "*",
+        url_scheme(b).alias("_bs"), url_netloc(b).alias("_bn"),
+        F.regexp_extract(b_rest, r"^([^?#]*)", 1).alias("_bp"),
+        F.regexp_extract(b_rest, r"^[^?#]*\?([^#]*)", 1).alias("_bq"),
+        url_scheme(h).alias("_hs"), _netloc_of_rest(h_rest).alias("_hn"),
+        F.regexp_extract(h_tail, r"^([^?#]*)", 1).alias("_hp"),
+        F.regexp_extract(h_tail, r"^[^?#]*\?([^#]*)", 1).alias("_hq"),
+    )
+    bs, bn, bp, bq, hs, hn, hp, hq = (F.col(c) for c in ("_bs", "_bn", "_bp", "_bq", "_hs", "_hn", "_hp", "_hq"))
+    merge_case = (h != "") & ((hs == "") | (hs == bs)) & (hn == "") & (hp != "")
+    fast = merge_case & hp.startswith("/") & ~hp.rlike(_DOT_SEGMENT)
+    t = t.withColumn("_slow", merge_case & ~fast)
+    base_parts = F.split(bp, "/", -1)
+    t = t.withColumn("_bdir", F.when(F.col("_slow"), F.when(F.element_at(base_parts, -1) != "", F.slice(
+        base_parts, 1, F.size(base_parts) - 1)).otherwise(base_parts)))
+    t = t.withColumn("_merged", F.when(F.col("_slow") & ~hp.startswith("/"),
+                                       F.concat(F.col("_bdir"), F.split(hp, "/", -1))))
+    t = t.withColumn("_segs", F.when(hp.startswith("/"), F.split(hp, "/", -1)).otherwise(
+        F.filter(F.col("_merged"), lambda x, i: (i == 0) | (i == F.size(F.col("_merged")) - 1) | (x != ""))))
+    t = t.withColumn("_fold", F.when(F.col("_slow"), _dot_fold(F.col("_segs"))))
+    folded = F.array_join(F.col("_fold"), "/")
+    folded = F.when(folded == "", F.lit("/")).when(folded.startswith("/"), folded).otherwise(
+        F.concat(F.lit("/"), folded))
+
+    def q(query):
+        return F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))
+
+    joined = (
+        F.when(h == "", b)
+        .when((hs != "") & (hs != bs), h)
+        .when(hn != "", F.concat(bs, F.lit("://"), hn, hp, q(hq)))
+        .when(hp == "", F.concat(bs, F.lit("://"), bn, bp, q(F.when(hq != "", hq).otherwise(bq))))
+        .when(fast, F.concat(bs, F.lit("://"), bn, hp, q(hq)))
+        .otherwise(F.concat(bs, F.lit("://"), bn, folded, q(hq)))
+    )
+    tmp = ["_bs", "_bn", "_bp", "_bq", "_hs", "_hn", "_hp", "_hq", "_slow", "_bdir", "_merged", "_segs", "_fold"]
+    return t.withColumn(out, joined).drop(*tmp)

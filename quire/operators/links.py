@@ -27,7 +27,7 @@ def extract_links(pages: DataFrame, scope: str = "page", src_col: str = "url", h
     hrefs = pages.select(
         F.col(src_col).alias("src"), F.explode(H.href_values(F.col(html_col))).alias("href")
     ).select("src", U.defrag("href").alias("href"))
-    joined = hrefs.where(F.col("href") != "").select("src", U.url_join("src", "href").alias("dst"))
+    joined = U.with_url_join(hrefs.where(F.col("href") != ""), "src", "href", "dst").select("src", "dst")
     cond = U.url_netloc("dst") == U.url_netloc("src")
     if scope == "page":
         cond = cond & U.scope_path("dst").startswith(U.scope_path("src"))

@@ -24,8 +24,9 @@ def test_url_join_fixed_cases(spark):
              ("https://example.com/a/", "../../../../up"), ("https://example.com/a/b/", "./")]
     df = spark.createDataFrame(cases, "b string, h string")
     got = {(r.b, r.h): r.j for r in df.select("b", "h", U.url_join("b", "h").alias("j")).collect()}
+    staged = {(r.b, r.h): r.j for r in U.with_url_join(df, "b", "h", "j").collect()}
     for b, h in cases:
-        assert got[(b, h)] == urljoin(b, h), (b, h)
+        assert got[(b, h)] == urljoin(b, h) == staged[(b, h)], (b, h)
 
 
 @settings(max_examples=20, deadline=None)
@@ -34,6 +35,8 @@ def test_url_join_matches_urllib(spark, pairs):
     df = spark.createDataFrame(pairs, "b string, h string")
     for r in df.select("b", "h", U.url_join("b", "h").alias("j")).collect():
         assert r.j == urljoin(r.b, r.h), (r.b, r.h)
+    for r in U.with_url_join(df, "b", "h", "j").collect():
+        assert r.j == urljoin(r.b, r.h), (r.b, r.h)
 
 
 def test_url_parts_and_is_url(spark):
