@@ -57,7 +57,7 @@ def write_bundles(blocks: DataFrame, path: str, num_partitions: int | None = Non
     """SNK1: ``<path>/doc_type=<X>/part-*.txt`` whose concatenation in file
     name order is the bundle.  Overwrites ``path``."""
     n = num_partitions or int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (blocks.repartitionByRange(n, "doc_type", "ord").sortWithinPartitions("doc_type", "ord")
+    (blocks.repartitionByRange(n, "doc_type", "ord").sortWithinPartitions("doc_type", "ord", "url")
      # the text sink adds one '\n' per row; drop the block's last one
      .select("doc_type", F.expr("substring(block, 1, length(block) - 1)").alias("value"))
      .write.mode("overwrite").partitionBy("doc_type").text(path))

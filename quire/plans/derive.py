@@ -189,3 +189,18 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where(F.col("role") == "user").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), F.col("text").alias("prompt"),
         dt.alias("doc_type"))
+
+
+def page_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawl registry for the full ingest: one entry per host, seeded at the
+    host's first page."""
+    p = T.pages(spark, sf_dir, with_html=False)
+    return (p.groupBy(U.url_netloc("url").alias("keyword"))
+            .agg(F.min("page_id").alias("pos"), F.min_by("url", "page_id").alias("url"))
+            .select("pos", "keyword", F.col("keyword").alias("name"), "url",
+                    F.lit(None).cast("string").alias("description")))
+
+
+def host_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One crawl request per host, by keyword."""
+    return page_registry(spark, sf_dir).select(F.col("pos").alias("req_id"), F.col("keyword").alias("keyword_or_url"))

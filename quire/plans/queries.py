@@ -168,6 +168,16 @@ def bundle_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.bundle_blocks(D.doc_pages(spark, sf_dir), D.CRAWLED_AT)
 
 
+def crawl_to_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolve -> doc_type -> crawl (site scope, depth 3) -> render
+    fallback -> markdown -> bundle blocks; per-doc_type summary."""
+    from quire.plans.ingest import crawl_to_bundles as run
+
+    out = run(T.pages(spark, sf_dir), D.page_registry(spark, sf_dir), D.host_requests(spark, sf_dir),
+              D.CRAWLED_AT, max_depth=3, scope="site", renders=D.renders(spark, sf_dir))
+    return out["summary"]
+
+
 def bundle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK1 then SRC10: write the bundles to the shared folder, read them back."""
     from quire.session import scratch_path
@@ -235,6 +245,7 @@ QUERIES: dict[str, Query] = {
     "crawl_run_stats": crawl_run_stats,
     "render_fallback": render_fallback,
     "bundle_blocks": bundle_blocks,
+    "crawl_to_bundles": crawl_to_bundles,
     "bundle_roundtrip": bundle_roundtrip,
     "pages_per_doc_type": pages_per_doc_type,
     "markdown_pages": markdown_pages,
