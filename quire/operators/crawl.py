@@ -7,11 +7,11 @@ Level-synchronous breadth-first search over an edge table, keyed by
 
 * One Spark job per level; the loop is bounded by ``max_depth`` and stops
   early on an empty frontier (a cheap ``isEmpty`` on the checkpointed level).
-* The edge table is de-duplicated and checkpointed once.  Each level joins
-  the frontier to it on ``src``: while the frontier is small AQE turns the
-  join into a broadcast of the frontier (the edge table is only scanned,
-  never shuffled); a large frontier gets a sort-merge join, and AQE splits a
-  skewed hot node.
+* The edge table is de-duplicated once and written to the shared folder
+  bucketed by ``src``.  Each level joins the frontier to it on ``src``:
+  while the frontier is small AQE broadcasts it (the edges are only
+  scanned); a large frontier is shuffled to the edge buckets -- the edge
+  table itself is never re-shuffled -- and AQE splits a skewed hot node.
 * Each level is cut from its lineage with a reliable ``checkpoint()`` in the
   shared ``spark.checkpoint.dir`` so a lost executor never replays earlier
   levels.
@@ -29,16 +29,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import checkpoint_root
+from quire.session import checkpoint_root, scratch_path
 
 DEFAULT_MAX_DEPTH = 3
 
 
-def prepare_edges(edges: DataFrame) -> DataFrame:
-    """Distinct (src, dst), checkpointed once to the shared folder so every
-    level reads the materialised edge table instead of re-deriving it."""
-    checkpoint_root(edges.sparkSession)
-    return edges.select("src", "dst").distinct().checkpoint(eager=True)
+def prepare_edges(edges: DataFrame, num_buckets: int | None = None) -> DataFrame:
+    """Distinct (src, dst) materialised once in the shared folder.
+
+    Written as a table bucketed (and sorted) by ``src``: every level's join
+    on ``src`` then reads the edges already hash-partitioned, so only the
+    frontier is shuffled.  When the catalog does not accept a table, a
+    plain reliable checkpoint is used (same result, the edges are then
+    re-shuffled for a level whose frontier is too big to broadcast).
+    """
+    spark = edges.sparkSession
+    distinct = edges.select("src", "dst").distinct()
+    n = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "edges")
+    name = "quire_edges_" + path.rsplit("-", 1)[-1]
+    try:
+        distinct.write.bucketBy(n, "src").sortBy("src").option("path", path).mode("overwrite").saveAsTable(name)
+        return spark.table(name)
+    except Exception:  # no writable catalog: fall back to a checkpoint
+        return distinct.checkpoint(eager=True)
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH,
