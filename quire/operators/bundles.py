@@ -44,7 +44,11 @@ def bundle_blocks(pages: DataFrame, crawled_at: str) -> DataFrame:
     ``ord`` is the visit order inside the doc_type (for a crawl: depth, then
     url); the smallest ord carries the front matter.
     """
-    first = pages.groupBy("doc_type").agg(F.min(F.struct("ord", "url")).alias("f"))
+    from quire.operators.common import maybe_broadcast
+
+    # one row per doc_type (partial aggregate); broadcast after a size check so
+    # a doc_type holding a third of the pages is never a skewed join key
+    first = maybe_broadcast(pages.groupBy("doc_type").agg(F.min(F.struct("ord", "url")).alias("f")))
     j = pages.join(first, "doc_type")
     is_first = F.col("ord") == F.col("f.ord")
     block = F.concat(

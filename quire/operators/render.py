@@ -54,7 +54,7 @@ def render_fallback(pages: DataFrame, renders: DataFrame | None, renderer_availa
     if renders is None:
         j = pages.withColumn("_r", F.lit(None).cast("struct<ok:boolean,markdown:string,error:string>"))
     else:
-        from quire.operators.retrieve import maybe_broadcast
+        from quire.operators.common import maybe_broadcast
 
         r = renders.select(F.col("url").alias("_rurl"),
                            render_outcome(F.col("status"), F.col("success"), F.col("markdown"),

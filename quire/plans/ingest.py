@@ -23,7 +23,7 @@ from quire.operators.links import extract_links
 from quire.operators.markdown import html_to_markdown
 from quire.operators.render import render_fallback
 from quire.operators.resolve import infer_doc_type, resolve_keywords
-from quire.operators.retrieve import maybe_broadcast
+from quire.operators.common import maybe_broadcast
 
 
 def crawl_to_bundles(pages: DataFrame, registry: DataFrame, requests: DataFrame, crawled_at: str,

@@ -97,7 +97,9 @@ def scan_local_files(spark: SparkSession, requests: DataFrame, path_col: str = "
     Only the distinct parent folders are brought to the driver (to name the
     scans); the files themselves are listed and read by Spark.  The probe
     reads ``.txt``/``.md`` bodies only, with ``length <= max_bytes`` pushed
-    into the scan.
+    into the scan.  For requests spread over very many folders, scan their
+    common roots with :func:`scan_corpus_files`-style recursive listings
+    instead (the folder list is the only driver-side state here).
     """
     from quire.operators.files import MAX_FILE_BYTES, utf8_check
 
