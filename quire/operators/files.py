@@ -155,3 +155,31 @@ def load_store(requests: DataFrame, listing: DataFrame) -> DataFrame:
         .when(~ok, F.concat(F.lit("File not found: "), F.col("first_missing.file_path"))).alias("error"),
         F.concat(F.col("doc_type"), F.lit(" API Documentation")).alias("description"),
     )
+
+
+def load_file(validated: DataFrame) -> DataFrame:
+    """SNK6: one file per request (``validated`` from :func:`validate`, with
+    optional ``doc_type`` / ``description``).  A valid file gets a store:
+    doc_type defaults to the file stem, description to "Direct upload:
+    {name}"; an invalid one returns its validation error and no store."""
+    v = validated
+    if "doc_type" not in v.columns:
+        v = v.withColumn("doc_type", F.lit(None).cast("string"))
+    if "description" not in v.columns:
+        v = v.withColumn("description", F.lit(None).cast("string"))
+    ok = F.col("valid")
+    key = F.concat_ws("|", F.col("batch_id").cast("string"), F.col("file_path"))
+    return v.select(
+        "batch_id", "file_path",
+        F.when(ok, store_id_of(key)).alias("store_id"),
+        F.when(ok, F.coalesce(F.nullif(F.col("doc_type"), F.lit("")), U.file_stem("file_path"))).alias("doc_type"),
+        F.when(ok, F.coalesce(F.nullif(F.col("description"), F.lit("")),
+                              F.concat(F.lit("Direct upload: "), U.file_name("file_path")))).alias("description"),
+        "size", ok.alias("success"), "error")
+
+
+def file_counts(listing: DataFrame, by: str | None = "doc_type") -> DataFrame:
+    """A2: number of files and total bytes of a listing (per ``by`` column,
+    or overall when ``by`` is None)."""
+    aggs = [F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("total_size")]
+    return listing.groupBy(by).agg(*aggs) if by else listing.agg(*aggs)

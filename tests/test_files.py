@@ -96,3 +96,21 @@ def test_corpus_listing(spark, tmp_path):
     assert scan_corpus_files(spark, str(tmp_path / "none")).count() == 0
     g = gather_upload_inputs(spark, str(root), "nothing").collect()
     assert len(g) == 1 and "Crawl first" in g[0].error
+
+
+def test_load_file_defaults(spark, tmp_path):
+    got, req, listing, probe = validate(spark, tmp_path, ["good.txt", "tool.exe"])
+    val = V.validate(req, listing, probe)
+    out = {os.path.basename(r.file_path): r for r in V.load_file(val).collect()}
+    g = out["good.txt"]
+    assert g.success and g.doc_type == "good" and g.description == "Direct upload: good.txt"
+    assert g.store_id.startswith("stores/")
+    t = out["tool.exe"]
+    assert not t.success and t.store_id is None and t.error.startswith("Unsupported file extension")
+
+
+def test_file_counts(spark):
+    lst = spark.createDataFrame([("/a/x.txt", "x.txt", 3, "a"), ("/a/y.txt", "y.txt", 4, "a"), ("/b.txt", "b.txt", 1, "b")],
+                                "path string, name string, size bigint, doc_type string")
+    assert {r.doc_type: (r.file_count, r.total_size) for r in V.file_counts(lst).collect()} == {"a": (2, 7), "b": (1, 1)}
+    assert tuple(V.file_counts(lst, by=None).first()) == (3, 8)
