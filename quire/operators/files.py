@@ -47,7 +47,8 @@ def validate(requests: DataFrame, listing: DataFrame, utf8_ok: DataFrame | None
     else:
         df = df.withColumn("_utf8", F.lit(None).cast("boolean"))
     p = F.col(path_col)
-    ext = U.file_ext(p)
+    df = df.withColumn("_ext", U.file_ext(p))  # staged: read several times below
+    ext = F.col("_ext")
     exists = F.col("_path").isNotNull()
     supported = ext.isin(*SUPPORTED_EXTENSIONS)
     small = F.col("_len") <= F.lit(MAX_FILE_BYTES)
@@ -62,7 +63,8 @@ def validate(requests: DataFrame, listing: DataFrame, utf8_ok: DataFrame | None
     )
     size = F.when(exists & supported, F.col("_len")).otherwise(F.lit(0)).cast("bigint")
     extension = F.when(exists, ext).otherwise(F.lit(""))
-    return df.select(*requests.columns, error.isNull().alias("valid"), error.alias("error"),
+    df = df.withColumn("_error", error)
+    return df.select(*requests.columns, F.col("_error").isNull().alias("valid"), F.col("_error").alias("error"),
                      size.alias("size"), extension.alias("extension"))
 
 

@@ -104,13 +104,17 @@ def resolve_keywords(requests: DataFrame, registry: DataFrame, list_limit: int =
         return F.when(total > list_limit, F.concat(F.lit(" ... ("), total.cast("string"), F.lit(" in total)"))) \
             .otherwise(F.lit(""))
 
+    out = out.withColumn("_is_url", U.is_url(kw))
     tier = (F.when(kw.isNull() | (kw == ""), F.lit("empty"))
-            .when(U.is_url(kw), F.lit("url"))
+            .when(F.col("_is_url"), F.lit("url"))
             .when(F.col("exact_url").isNotNull(), F.lit("exact"))
             .when(F.col("ci").isNotNull(), F.lit("case_insensitive"))
             .when(n_sub == 1, F.lit("substring"))
             .when(n_sub > 1, F.lit("ambiguous"))
             .otherwise(F.lit("not_found")))
+    # staged: tier is a column computed once, then read by url and error
+    out = out.withColumn("tier", tier)
+    tier = F.col("tier")
     url = (F.when(tier == "url", kw).when(tier == "exact", F.col("exact_url"))
            .when(tier == "case_insensitive", F.col("ci.url")).when(tier == "substring", F.col("sub.url")))
     error = (F.when(tier == "empty", F.lit("keyword_or_url cannot be empty"))
