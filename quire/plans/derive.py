@@ -135,14 +135,15 @@ def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def renders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Render results by page_id % 3: 0 ok (markdown), 1 failed, 2 missing."""
+    """One render result per page, kind by page_id % 3: 0 ok (markdown),
+    1 failed with a message, 2 gateway timeout without a message."""
     p = T.pages(spark, sf_dir, with_html=False)
     m = F.col("page_id") % 3
     fail_status = F.element_at(F.array(*[F.lit(s) for s in RENDER_FAIL_STATUSES]),
                                (F.col("page_id") % 4 + 1).cast("int"))
-    return p.where(m != 2).select(
+    return p.select(
         "url",
-        F.when(m == 0, F.lit(200)).otherwise(fail_status).alias("status"),
+        F.when(m == 0, F.lit(200)).when(m == 1, fail_status).otherwise(F.lit(504)).alias("status"),
         (m == 0).alias("success"),
         F.when(m == 0, F.concat(F.lit("# rendered "), F.col("url"))).alias("markdown"),
         F.when(m == 1, F.lit("Navigation timeout")).alias("error"))

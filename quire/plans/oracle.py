@@ -335,10 +335,11 @@ FROM seeds s LEFT JOIN per ON per.doc_type = s.seed"""
 
 RENDER_FALLBACK = f"""WITH {MARKED_PAGES}, {_features_sql('marked')},
 rnd AS (
-  SELECT url, CASE WHEN page_id % 3 = 0 THEN 200 ELSE {_case_list(D.RENDER_FAIL_STATUSES, 'page_id % 4')} END AS status,
+  SELECT url, CASE WHEN page_id % 3 = 0 THEN 200 WHEN page_id % 3 = 1
+                   THEN {_case_list(D.RENDER_FAIL_STATUSES, 'page_id % 4')} ELSE 504 END AS status,
          page_id % 3 = 0 AS success, CASE WHEN page_id % 3 = 0 THEN '# rendered ' || url END AS markdown,
          CASE WHEN page_id % 3 = 1 THEN 'Navigation timeout' END AS error
-  FROM pages WHERE page_id % 3 <> 2),
+  FROM pages),
 ro AS (
   SELECT url, CASE WHEN status = 429 THEN 'Render rate limit exceeded'
                    WHEN status IN (401, 403) THEN 'Render authentication failed (' || status || ')'
