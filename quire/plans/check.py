@@ -19,13 +19,16 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+EXACT_FLOATS = os.environ.get("QUIRE_EXACT_FLOATS") == "1"
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 9)
+        return v if EXACT_FLOATS else round(v, 9)
     if hasattr(v, "item"):
         return _norm(v.item())
     if isinstance(v, (list, tuple)):
