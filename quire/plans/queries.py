@@ -196,17 +196,17 @@ def markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.chunk_documents(T.table(spark, sf_dir, "documents", "doc_id", "text"))
+    return Q.chunk_documents(T.table(spark, sf_dir, "documents", "doc_id", "text", balanced=True))
 
 
 def retrieve_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = Q.chunk_documents(T.table(spark, sf_dir, "documents", "doc_id", "text"))
+    chunks = Q.chunk_documents(T.table(spark, sf_dir, "documents", "doc_id", "text", balanced=True))
     prompts = T.table(spark, sf_dir, "benchmark", "item_id", "text").withColumnRenamed("item_id", "prompt_id")
     return Q.bm25_topk(prompts, chunks, k=5)
 
 
 def retrieve_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = T.table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    e = T.table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label", balanced=True)
     return Q.vector_topk(e, Q.centroid_queries(e), k=5)
 
 

@@ -17,15 +17,31 @@ TABLES = (
 ).split()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    """Read one driver table, projected to ``cols`` when given."""
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin an under-split scan over the cluster's cores.
+
+    A file written as one row group is read by one task, which would run
+    the per-row regex / tokenizing work of a whole table single-threaded.
+    When the scan has fewer partitions than the default parallelism the
+    rows are dealt out evenly; a large input (many splits) is returned
+    unchanged, so at scale this adds no shuffle.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *cols: str, balanced: bool = False) -> DataFrame:
+    """Read one driver table, projected to ``cols`` when given.  ``balanced``
+    spreads an under-split scan (for CPU-heavy per-row work)."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return df.select(*cols) if cols else df
+    df = df.select(*cols) if cols else df
+    return spread(df) if balanced else df
 
 
 def pages(spark: SparkSession, sf_dir: str, with_html: bool = True) -> DataFrame:
-    """SRC4 scan_pages: one row per fetched page; ``html`` only when asked."""
+    """SRC4 scan_pages: one row per fetched page; ``html`` only when asked
+    (and then spread over the cores, see :func:`spread`)."""
     cols = ("page_id", "url", "html") if with_html else ("page_id", "url")
-    return table(spark, sf_dir, "pages", *cols)
+    return table(spark, sf_dir, "pages", *cols, balanced=with_html)

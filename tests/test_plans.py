@@ -16,10 +16,17 @@ def formatted(df) -> str:
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
-def exchange_inputs(df) -> list[str]:
-    """Column lists of every Exchange in the formatted plan."""
+def exchange_inputs(df, keyed_only: bool = True) -> list[str]:
+    """Column lists of the Exchanges in the formatted plan.  ``keyed_only``
+    skips round-robin exchanges: those only deal an under-split scan out
+    over the cores (tables.spread) and never exist for a large input."""
     txt = formatted(df)
-    return re.findall(r"\(\d+\) (?:Exchange|ShuffleExchange)[^\n]*\nInput \[\d+\]: \[([^\]]*)\]", txt)
+    out = []
+    for block in re.findall(r"\(\d+\) (?:Exchange|ShuffleExchange)[^\n]*\n((?:[A-Z][^\n]*\n?)+)", txt):
+        m = re.search(r"Input \[\d+\]: \[([^\]]*)\]", block)
+        if m and not (keyed_only and "RoundRobinPartitioning" in block):
+            out.append(m.group(1))
+    return out
 
 
 def test_html_not_read_when_not_needed(spark):
@@ -36,7 +43,17 @@ def test_html_never_shuffled(spark):
         for cols in exchange_inputs(df):
             seen += 1
             assert not re.search(r"\bhtml#", cols), (name, cols)
-    assert seen >= 3  # the check looked at real shuffles
+    assert seen >= 3  # the check looked at real (keyed) shuffles
+
+
+def test_spread_only_for_under_split_scans(spark):
+    from quire.sources.tables import spread
+
+    small = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
+    assert small.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    assert "RoundRobinPartitioning" in formatted(spread(small))
+    many = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism * 2)
+    assert spread(many) is many
 
 
 def test_latest_store_is_partial_aggregate_not_window(spark):
