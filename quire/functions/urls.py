@@ -158,29 +158,35 @@ def file_ext(p) -> Column:
 _DOT_SEGMENT = r"(^|/)\.\.?(/|$)"
 
 
-def with_url_join(df, base: str, href: str, out: str):
+def with_url_join(df, base: str, href: str, out: str, parts: bool = False):
     """DataFrame form of :func:`url_join` for large link tables.
 
     Same result, but every URL part is a column computed once (the
     Column form re-evaluates shared sub-expressions inside the array
     lambdas), and root-relative hrefs without '.'/'..' segments -- nearly
-    all real links -- skip the dot-segment fold.
+    all real links -- skip the dot-segment fold.  With ``parts=True`` it also
+    returns ``<out>_netloc``, ``<out>_path`` and ``<base>_netloc``,
+    ``<base>_path`` (known per case, so the link filters need no re-parse).
     """
-    b, h = F.col(base), F.col(href)
-    b_rest = _after_netloc(_after_scheme(b))
-    h_rest = _after_scheme(h)
-    h_tail = _after_netloc(h_rest)
-    t = df.select(
+    b0, h = F.col(base), F.col(href)
+    t = df.select("*", clean_url(b0).alias("_bc"), clean_url(h).alias("_hc"))
+    bc, hc = F.col("_bc"), F.col("_hc")
+    t = t.select("*", F.regexp_replace(bc, _SCHEME, "").alias("_brest0"),
+                 F.regexp_replace(hc, _SCHEME, "").alias("_hrest"))
+    t = t.select("*", _after_netloc(F.col("_brest0")).alias("_brest"), _after_netloc(F.col("_hrest")).alias("_htail"))
+    b_rest, h_tail = F.col("_brest"), F.col("_htail")
+    t = t.select(
         "*",
-        url_scheme(b).alias("_bs"), url_netloc(b).alias("_bn"),
+        F.lower(F.regexp_extract(bc, _SCHEME, 1)).alias("_bs"), _netloc_of_rest(F.col("_brest0")).alias("_bn"),
         F.regexp_extract(b_rest, r"^([^?#]*)", 1).alias("_bp"),
         F.regexp_extract(b_rest, r"^[^?#]*\?([^#]*)", 1).alias("_bq"),
-        url_scheme(h).alias("_hs"), _netloc_of_rest(h_rest).alias("_hn"),
+        F.lower(F.regexp_extract(hc, _SCHEME, 1)).alias("_hs"), _netloc_of_rest(F.col("_hrest")).alias("_hn"),
         F.regexp_extract(h_tail, r"^([^?#]*)", 1).alias("_hp"),
         F.regexp_extract(h_tail, r"^[^?#]*\?([^#]*)", 1).alias("_hq"),
     )
     bs, bn, bp, bq, hs, hn, hp, hq = (F.col(c) for c in ("_bs", "_bn", "_bp", "_bq", "_hs", "_hn", "_hp", "_hq"))
-    merge_case = (h != "") & ((hs == "") | (hs == bs)) & (hn == "") & (hp != "")
+    other_scheme = (hs != "") & (hs != bs)
+    merge_case = (h != "") & ~other_scheme & (hn == "") & (hp != "")
     fast = merge_case & hp.startswith("/") & ~hp.rlike(_DOT_SEGMENT)
     t = t.withColumn("_slow", merge_case & ~fast)
     base_parts = F.split(bp, "/", -1)
@@ -194,17 +200,25 @@ def with_url_join(df, base: str, href: str, out: str):
     folded = F.array_join(F.col("_fold"), "/")
     folded = F.when(folded == "", F.lit("/")).when(folded.startswith("/"), folded).otherwise(
         F.concat(F.lit("/"), folded))
+    t = t.withColumn("_path", F.when(h == "", bp).when(other_scheme, url_path(h)).when(hn != "", hp)
+                     .when(hp == "", bp).when(fast, hp).otherwise(folded))
+    path = F.col("_path")
 
     def q(query):
         return F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))
 
     joined = (
-        F.when(h == "", b)
-        .when((hs != "") & (hs != bs), h)
-        .when(hn != "", F.concat(bs, F.lit("://"), hn, hp, q(hq)))
-        .when(hp == "", F.concat(bs, F.lit("://"), bn, bp, q(F.when(hq != "", hq).otherwise(bq))))
-        .when(fast, F.concat(bs, F.lit("://"), bn, hp, q(hq)))
-        .otherwise(F.concat(bs, F.lit("://"), bn, folded, q(hq)))
+        F.when(h == "", b0)
+        .when(other_scheme, h)
+        .when(hn != "", F.concat(bs, F.lit("://"), hn, path, q(hq)))
+        .when(hp == "", F.concat(bs, F.lit("://"), bn, path, q(F.when(hq != "", hq).otherwise(bq))))
+        .otherwise(F.concat(bs, F.lit("://"), bn, path, q(hq)))
     )
-    tmp = ["_bs", "_bn", "_bp", "_bq", "_hs", "_hn", "_hp", "_hq", "_slow", "_bdir", "_merged", "_segs", "_fold"]
-    return t.withColumn(out, joined).drop(*tmp)
+    t = t.withColumn(out, joined)
+    if parts:
+        dst_netloc = F.when(h == "", bn).when(other_scheme, url_netloc(h)).when(hn != "", hn).otherwise(bn)
+        t = (t.withColumn(f"{out}_netloc", dst_netloc).withColumn(f"{out}_path", path)
+             .withColumn(f"{base}_netloc", bn).withColumn(f"{base}_path", bp))
+    tmp = ["_bc", "_hc", "_brest0", "_hrest", "_brest", "_htail", "_bs", "_bn", "_bp", "_bq", "_hs", "_hn", "_hp",
+           "_hq", "_slow", "_bdir", "_merged", "_segs", "_fold", "_path"]
+    return t.drop(*tmp)

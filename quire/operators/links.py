@@ -27,11 +27,12 @@ def extract_links(pages: DataFrame, scope: str = "page", src_col: str = "url", h
     hrefs = pages.select(
         F.col(src_col).alias("src"), F.explode(H.href_values(F.col(html_col))).alias("href")
     ).select("src", U.defrag("href").alias("href"))
-    joined = U.with_url_join(hrefs.where(F.col("href") != ""), "src", "href", "dst").select("src", "dst")
-    cond = U.url_netloc("dst") == U.url_netloc("src")
+    joined = U.with_url_join(hrefs.where(F.col("href") != ""), "src", "href", "dst", parts=True)
+    cond = F.col("dst_netloc") == F.col("src_netloc")
     if scope == "page":
-        cond = cond & U.scope_path("dst").startswith(U.scope_path("src"))
-    return joined.where(cond).distinct()
+        strip = lambda c: F.regexp_replace(c, r"/+$", "")
+        cond = cond & strip(F.col("dst_path")).startswith(strip(F.col("src_path")))
+    return joined.where(cond).select("src", "dst").distinct()
 
 
 def links_per_page(links: DataFrame) -> DataFrame:
