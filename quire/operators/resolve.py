@@ -36,17 +36,27 @@ LIST_LIMIT = 20
 GRAM = 8
 
 
-def _key_grams(col: F.Column) -> F.Column:
-    """Distinct substrings of length 1..GRAM of ``col``."""
+def _key_grams(col: F.Column, lengths=range(1, GRAM + 1)) -> F.Column:
+    """Distinct substrings of ``col`` with the given lengths (default 1..GRAM)."""
     n = F.length(col)
 
-    def of_len(k: int):
-        # one-argument lambda: a second parameter would be bound to the index
+    # one-argument lambdas only: a second parameter would be bound to the index
+    def take(k: int):
         return lambda i: F.substring(col, i, F.lit(k))
 
-    grams = [F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), of_len(k))
-             for k in range(1, GRAM + 1)]
-    return F.array_distinct(F.filter(F.concat(*grams), lambda g: F.length(g) > 0))
+    def full(k: int):
+        return lambda g: F.length(g) == F.lit(k)
+
+    grams = [F.filter(F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), take(k)), full(k))
+             for k in lengths]
+    return F.array_distinct(F.concat(*grams))
+
+
+def _probe_lengths(df: DataFrame, col: str) -> list[int]:
+    """Distinct probe lengths (<= GRAM values, a bounded driver-side set):
+    the other side only needs its substrings of these lengths."""
+    rows = df.select(F.least(F.length(col), F.lit(GRAM)).alias("k")).where(F.col("k") > 0).distinct().collect()
+    return sorted(int(r["k"]) for r in rows) or [GRAM]
 
 
 def _probe(col: F.Column) -> F.Column:
@@ -78,8 +88,10 @@ def resolve_keywords(requests: DataFrame, registry: DataFrame, list_limit: int =
     (req_id, keyword_or_url, tier, url, error)."""
     req = requests.select("req_id", "keyword_or_url", F.lower("keyword_or_url").alias("kw_l"))
     reg = registry.select("pos", "keyword", "url", F.lower("keyword").alias("key_l"))
-    reg_grams = reg.select("pos", "keyword", "url", "key_l", F.explode(_key_grams(F.col("key_l"))).alias("g"))
     is_kw = (F.col("keyword_or_url") != "") & ~U.is_url("keyword_or_url")
+    lengths = _probe_lengths(req.where(is_kw), "kw_l")
+    reg_grams = reg.select("pos", "keyword", "url", "key_l",
+                           F.explode(_key_grams(F.col("key_l"), lengths)).alias("g"))
     probes = req.where(is_kw).select("req_id", "keyword_or_url", "kw_l", _probe(F.col("kw_l")).alias("g"))
     hits = (probes.join(reg_grams, "g")
             .where(F.instr("key_l", F.col("kw_l")) > 0)
@@ -133,11 +145,13 @@ def infer_doc_type(seeds: DataFrame, registry: DataFrame) -> DataFrame:
     s = seeds.select("seed_id", "start_url")
     reg = registry.select("pos", "keyword", "url")
     # registry url inside start_url: explode the seed's grams, probe with the url's probe
-    s_grams = s.select("seed_id", "start_url", F.explode(_key_grams(F.col("start_url"))).alias("g"))
+    s_grams = s.select("seed_id", "start_url",
+                       F.explode(_key_grams(F.col("start_url"), _probe_lengths(reg, "url"))).alias("g"))
     a = (s_grams.join(reg.withColumn("g", _probe(F.col("url"))), "g")
          .where(F.instr("start_url", F.col("url")) > 0).select("seed_id", "pos", "keyword"))
     # start_url inside registry url: explode the registry's grams, probe with the seed's probe
-    r_grams = reg.select("pos", "keyword", "url", F.explode(_key_grams(F.col("url"))).alias("g"))
+    r_grams = reg.select("pos", "keyword", "url",
+                         F.explode(_key_grams(F.col("url"), _probe_lengths(s, "start_url"))).alias("g"))
     b = (s.withColumn("g", _probe(F.col("start_url"))).join(r_grams, "g")
          .where(F.instr("url", F.col("start_url")) > 0).select("seed_id", "pos", "keyword"))
     first = a.unionByName(b).groupBy("seed_id").agg(F.min(F.struct("pos", "keyword")).alias("m"))
