@@ -1,0 +1,11 @@
+"""quire: documentation-corpus jobs on Spark.
+
+functions/  Column -> Column expressions (URLs, HTML, registry times)
+sources/    scans of tables, JSON registries and file listings
+operators/  DataFrame -> DataFrame jobs (classify, links, crawl, resolve,
+            stores, files, render, markdown, bundles, retrieve)
+plans/      the registered queries, their DuckDB oracles, the full ingest
+streaming/  the page classifier on a file stream
+"""
+
+__version__ = "0.1.0"
