@@ -9,3 +9,20 @@ streaming/  the page classifier on a file stream
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Pickle this package's functions by value, so Python workers (the
+    mapInPandas steps) need no installed copy of it -- the same effect as
+    shipping it with --py-files."""
+    import sys
+
+    try:
+        from pyspark import cloudpickle
+
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # older cloudpickle: rely on the workers' import path
+        pass
+
+
+_ship_by_value()
