@@ -21,7 +21,7 @@ spark.stop()
 
 def test_workers_import_free():
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    with tempfile.TemporaryDirectory() as cwd:
-        out = subprocess.run([sys.executable, "-c", SCRIPT], cwd=cwd, env=env, capture_output=True, text=True,
-                             timeout=600)
+    cwd = tempfile.mkdtemp(prefix="quire-cwd-")  # a fresh folder, left in place
+    out = subprocess.run([sys.executable, "-c", SCRIPT], cwd=cwd, env=env, capture_output=True, text=True,
+                         timeout=600)
     assert "RESULT # T||x" in out.stdout, out.stderr[-2000:]
