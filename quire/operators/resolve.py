@@ -68,7 +68,8 @@ def _probe(col: F.Column) -> F.Column:
 
 
 def _name_list(matches: DataFrame, key: str, limit: int) -> DataFrame:
-    """Per ``key``: comma list of the first ``limit`` keywords by pos + total."""
+    """Per ``key``: comma list of the first ``limit`` keywords by pos (the
+    row_number filter becomes a per-task group limit before the shuffle)."""
     w = Window.partitionBy(key).orderBy("pos")
     top = matches.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
     listed = top.groupBy(key).agg(
