@@ -121,3 +121,20 @@ def test_text_nodes_around_removed_script_are_stripped_separately(spark):
     html = "<p>text1 <script>x()</script> text2 <!-- c --> text3</p>  tail &nbsp;"
     got = spark.createDataFrame([(html,)], "h string").select(H.visible_text("h").alias("t")).first().t
     assert got == ref(html)[0] == "text1text2text3tail"
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_PIECES = ["word", "x y", " ", "\n", "\t", "<p>", "</p>", "<b>", "</b>", "<br>", '<div class="c">', "</div>",
+           "&amp;", "&lt;", "&nbsp;", "&copy;", "&quot;", "<!-- note -->", "<script>var a = 1;</script>",
+           "<style>.c{}</style>", '<a href="/x">', "</a>", "<title>T</title>", "é"]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(_PIECES), min_size=0, max_size=25), min_size=1, max_size=8))
+def test_visible_text_matches_stdlib_on_generated_html(spark, docs):
+    htmls = ["".join(d) for d in docs]
+    df = spark.createDataFrame([(h,) for h in htmls], "h string")
+    got = [r.t for r in df.select(H.visible_text("h").alias("t")).collect()]
+    assert got == [ref(h)[0] for h in htmls]
