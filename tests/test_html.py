@@ -138,3 +138,17 @@ def test_visible_text_matches_stdlib_on_generated_html(spark, docs):
     df = spark.createDataFrame([(h,) for h in htmls], "h string")
     got = [r.t for r in df.select(H.visible_text("h").alias("t")).collect()]
     assert got == [ref(h)[0] for h in htmls]
+
+
+_LINKS = ['<a href="/a">', "<a href='/b?x=1&amp;y=2'>", "<a href=/c>", '<A HREF="/D">', "<a>", "</a>",
+          '<a title="t" href="/e#f">', '<abbr href="/no">', "<!-- <a href='/hidden'> -->",
+          "<script>'<a href=\"/s\">'</script>", "text", " "]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(_LINKS), min_size=0, max_size=15), min_size=1, max_size=8))
+def test_href_values_match_stdlib_on_generated_html(spark, docs):
+    htmls = ["".join(d) for d in docs]
+    df = spark.createDataFrame([(h,) for h in htmls], "h string")
+    got = [list(r.h) for r in df.select(H.href_values("h").alias("h")).collect()]
+    assert got == [ref(h)[1] for h in htmls]
