@@ -68,3 +68,15 @@ def test_null_inputs_stay_null(spark):
     r = df.select(U.url_join("b", "h").alias("j"), U.url_netloc("b").alias("n")).first()
     assert r.j is None and r.n is None
     assert df.select(U.is_url("b").alias("x")).first().x is False
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.text(alphabet="ab.Z_ -", min_size=1, max_size=12), min_size=1, max_size=20))
+def test_file_parts_match_pathlib(spark, names):
+    paths = [f"/d/{n}" for n in names if n not in (".", "..") and n.strip(".") != "" or n == "a"]
+    if not paths:
+        return
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    for r in df.select("p", U.file_name("p").alias("n"), U.file_stem("p").alias("s"), U.file_ext("p").alias("e")).collect():
+        pp = PurePosixPath(r.p)
+        assert (r.n, r.s, r.e) == (pp.name, pp.stem, pp.suffix.lower()), r.p
