@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import decontaminate, mixing, ngram_join, personal_data
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
+    "op3_personal_data": personal_data.op3_personal_data,
+    "op7_decontamination": decontaminate.op7_decontamination,
+    "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 #: DuckDB SQL, where SQL can express a query on whole tables
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_decontamination": decontaminate.ORACLE,
+    "op10_mix_sources": mixing.ORACLE,
+}
