@@ -69,12 +69,22 @@ def test_random_texts(query):
     check(query(rows), rows)
 
 
+def edge_rows(n):
+    return [(1, None), (2, ""), (3, "7" * n), (4, "1 " * n), (5, "a" * n + "@"), (6, "1.2.3.4 " * (n // 20)), (7, "a.b@c" + ".d" * n),
+            (8, "+1" + " " * n), (9, "." * n)]
+
+
 def test_edges(query):
-    rows = [(1, None), (2, ""), (3, "7" * 200_000), (4, "1 " * 60_000), (5, "a" * 300_000 + "@"), (6, "1.2.3.4 " * 3000), (7, "a.b@c" + ".d" * 50_000),
-            (8, "+1" + " " * 100_000), (9, "." * 100_000)]
+    rows = edge_rows(2000)  # the plain patterns are quadratic on these
     check(query(rows), rows)
 
 
+def test_very_long_texts(query):
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in query(edge_rows(100_000)).collect()}
+    none = (0, 0, 0, 0)
+    assert got == {1: none, 2: none, 3: none, 4: none, 5: none, 6: (0, 5000, 0, 0), 7: (1, 0, 0, 0), 8: none, 9: none}
+
+
 def test_checksums_and_context(query):
     out = {r.doc_id: r.spans for r in query([
         (1, "pay to GB82 WEST 1234 5698 7654 32 now"), (2, "pay to GB82 WEST 1234 5698 7654 33 now"),
