@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram_join, personal_data
+from . import decontaminate, mixing, ngram_join, perplexity, personal_data
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
     "op3_personal_data": personal_data.op3_personal_data,
+    "op4_quality_rules": perplexity.op4_quality_rules,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
