@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_scoring, mixing, ngram_join, perplexity, personal_data
+from . import decontaminate, html_text, lm_scoring, mixing, ngram_join, perplexity, personal_data, secrets
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
     "op3_personal_data": personal_data.op3_personal_data,
     "op4_quality_rules": perplexity.op4_quality_rules,
+    "op5_html_text": html_text.op5_html_text,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_lm_scores": lm_scoring.op8_lm_scores,
+    "op9_secret_scan": secrets.op9_secret_scan,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
