@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, lm_scoring, mixing, ngram_join, perplexity, personal_data, secrets
+from . import decontaminate, html_text, lm_scoring, mixing, ngram_join, perplexity, personal_data, secrets, warc
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
+    "op2_warc_revisits": warc.op2_warc_revisits,
     "op3_personal_data": personal_data.op3_personal_data,
     "op4_quality_rules": perplexity.op4_quality_rules,
     "op5_html_text": html_text.op5_html_text,
@@ -17,6 +18,7 @@ QUERIES = {
 
 #: DuckDB SQL, where SQL can express a query on whole tables
 ORACLE: dict[str, str] = {
+    "op2_warc_revisits": warc.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
 }
