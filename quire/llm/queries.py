@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, lm_scoring, mixing, ngram_join, perplexity, personal_data, secrets, warc
+from . import decontaminate, html_text, licences, lm_scoring, mixing, ngram_join, perplexity, personal_data, secrets, warc
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_personal_data": personal_data.op3_personal_data,
     "op4_quality_rules": perplexity.op4_quality_rules,
     "op5_html_text": html_text.op5_html_text,
+    "op6_licence_scan": licences.op6_licence_scan,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_lm_scores": lm_scoring.op8_lm_scores,
     "op9_secret_scan": secrets.op9_secret_scan,
