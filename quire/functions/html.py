@@ -42,16 +42,15 @@ INVISIBLE = (
     r"|style\b[^>]*>.*?</style\s*>|style\b[^>]*>.*)"
 )
 TAG = r"<[A-Za-z/!?][^>]*>"
-# One pass removes every invisible element and every tag together with the
-# whitespace (and &nbsp;) around it: what is left are the text nodes, each
-# stripped at its tag boundaries and joined with ''.
-_EDGE = r"(?:" + WS + r"|&nbsp;)*"
+# What separates text nodes: invisible elements and tags.
 NON_TEXT = (
-    r"(?is)" + _EDGE + r"<(?:!--.*?-->"
+    r"(?is)<(?:!--.*?-->"
     r"|script\b[^>]*>.*?</script\s*>|script\b[^>]*>.*"
     r"|style\b[^>]*>.*?</style\s*>|style\b[^>]*>.*"
-    r"|[A-Za-z/!?][^>]*>)" + _EDGE
+    r"|[A-Za-z/!?][^>]*>)"
 )
+# Stands for a '<' after the last '>' of a page, where it can begin no tag.
+_NO_TAG = "\ue000"
 
 # Entities decoded in text; '&amp;' must come last.
 ENTITIES = [
@@ -60,8 +59,13 @@ ENTITIES = [
     ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&"),
 ]
 
-# <a ... href=...>: attribute value double-quoted, single-quoted or bare.
-HREF = r"""(?is)<a(?=\s)(?:[^'">]|"[^"]*"|'[^']*')*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+# An <a> tag with its attributes (group 1), and in them the first href
+# outside other values: double-quoted, single-quoted or bare.  All loops are
+# possessive, so they neither recurse nor go back.
+A_TAG = r"""(?is)<a(?=\s)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)"""
+_VALUE = r"""("[^"]*+"|'[^']*+'|[^\s>"']++)"""
+HREF = (r"""(?is)^(?:"[^"]*+"|'[^']*+'|(?!\shref\s*+=\s*+""" + _VALUE.replace("(", "(?:", 1) + r""")[^'"])*+"""
+        r"""\shref\s*+=\s*+""" + _VALUE)
 
 
 def _col(c) -> Column:
@@ -83,9 +87,22 @@ def strip_invisible(html) -> Column:
 
 
 def visible_text(html) -> Column:
-    """Stripped text nodes concatenated without separator: one regex pass,
-    entity decoding, then a character-set trim of the two document ends."""
-    return F.btrim(decode_entities(F.regexp_replace(_col(html), NON_TEXT, "")), F.lit(WS_CHARS))
+    """Stripped text nodes concatenated without separator: the page is split at
+    tags, each piece decoded and trimmed (linear in any run of white space)."""
+    h = _col(html)
+    tail = F.substring_index(h, ">", -1)
+    bare = F.concat(F.substring(h, F.lit(1), F.length(h) - F.length(tail)), F.translate(tail, "<", _NO_TAG))
+
+    def text(page: Column) -> Column:
+        def trim(x: Column) -> Column:
+            return F.btrim(x, F.lit(WS_CHARS))
+
+        pieces = F.split(page, NON_TEXT, -1)
+        # most pages have entities in a few places only, some have none
+        return F.array_join(F.when(F.instr(page, "&") > 0, F.transform(pieces, lambda x: trim(decode_entities(x))))
+                            .otherwise(F.transform(pieces, trim)), "")
+
+    return F.when(F.instr(tail, "<") > 0, F.translate(text(bare), _NO_TAG, "<")).otherwise(text(h))
 
 
 def text_ratio(html) -> Column:
@@ -139,5 +156,6 @@ def is_dynamic(frameworks: Column, ratio: Column) -> Column:
 
 def href_values(html) -> Column:
     """All <a href> values (unquoted, entities decoded), in document order."""
-    raw = F.regexp_extract_all(strip_invisible(html), F.lit(HREF), 1)
+    tags = F.regexp_extract_all(strip_invisible(html), F.lit(A_TAG), 1)
+    raw = F.filter(F.transform(tags, lambda t: F.regexp_extract(t, HREF, 1)), lambda v: v != "")
     return F.transform(raw, lambda v: decode_entities(F.regexp_replace(v, r"""^["']|["']$""", "")))

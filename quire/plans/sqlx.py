@@ -1,14 +1,15 @@
 """SQL (DuckDB dialect) twins of the Column expressions, for the oracle.
 
-They use the same pattern constants as :mod:`quire.functions` so the two
-sides cannot drift apart.  RE2 (DuckDB) has no look-around, so the two
-patterns that need one get an equivalent RE2 form here.
+The HTML and URL forms are written here on their own, from the grammar, and
+share no pattern with :mod:`quire.functions`; only names and thresholds that
+both must equal (framework names and markers, white space) are imported.
 """
 
 from __future__ import annotations
 
+from html import unescape
+
 from quire.functions import html as H
-from quire.functions import urls as U
 
 
 def lit(s: str) -> str:
@@ -24,16 +25,21 @@ def rx_replace(expr: str, pattern: str, repl: str = "") -> str:
 
 
 # --- URLs -------------------------------------------------------------------
+#: RFC 3986 scheme; blanks and controls around a URL, and the three characters
+#: that the URL standard removes anywhere
+SCHEME = "^([a-zA-Z][a-zA-Z0-9+.-]*):"
+
+
 def clean_url(u: str) -> str:
-    return rx_replace(rx_replace(u, U._LEADING_JUNK), U._UNSAFE)
+    return f"translate(ltrim({u}, {' || '.join(f'chr({c})' for c in range(1, 33))}), chr(9) || chr(10) || chr(13), '')"
 
 
 def url_scheme(u: str) -> str:
-    return f"lower(regexp_extract({clean_url(u)}, {lit(U._SCHEME)}, 1))"
+    return f"lower(regexp_extract({clean_url(u)}, {lit(SCHEME)}, 1))"
 
 
 def after_scheme(u: str) -> str:
-    return rx_replace(clean_url(u), U._SCHEME)
+    return rx_replace(clean_url(u), SCHEME)
 
 
 def netloc_of_rest(rest: str) -> str:
@@ -85,20 +91,32 @@ def file_ext(p: str) -> str:
 
 
 # --- HTML -------------------------------------------------------------------
+ENTITY_NAMES = "lt gt quot #39 apos nbsp copy middot reg hellip mdash ndash amp".split()
+COMMENT = "<!--(?s:.*?)-->"
+
+
+def element_with_content(name: str) -> str:
+    """From a start tag to its end tag or, without one, to the end."""
+    return f"(?is:<{name}(?:[^a-z0-9_>][^>]*)?>(?:.*?</{name}[ \\t\\n\\f\\r\\v]*>|.*))"
+
+
+HIDDEN = "|".join([COMMENT, element_with_content("script"), element_with_content("style")])
+MARKUP = HIDDEN + "|</?[a-zA-Z][^>]*>|<[/!?][^>]*>"
+
+
 def decode_entities(x: str) -> str:
-    for ent, ch in H.ENTITIES:
-        ch_sql = f"chr({ord(ch)})" if ord(ch) > 126 else lit(ch)
-        x = f"replace({x}, {lit(ent)}, {ch_sql})"
+    for name in ENTITY_NAMES:
+        x = f"replace({x}, '&{name};', chr({ord(unescape(f'&{name};'))}))"
     return x
 
 
 def strip_invisible(h: str) -> str:
-    return rx_replace(h, H.INVISIBLE)
+    return rx_replace(h, HIDDEN)
 
 
 def visible_text(h: str) -> str:
     ws_sql = " || ".join(f"chr({ord(c)})" for c in H.WS_CHARS)
-    return f"trim({decode_entities(rx_replace(h, H.NON_TEXT))}, {ws_sql})"
+    return f"list_aggregate(list_transform(string_split_regex({h}, {lit(MARKUP)}), lambda t: trim({decode_entities('t')}, {ws_sql})), 'string_agg', '')"
 
 
 def frameworks(h: str) -> str:
