@@ -14,7 +14,7 @@ The store id is derived from the batch id, so a retried batch is idempotent.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import urls as U
@@ -26,8 +26,6 @@ MAX_FILE_BYTES = 50 * 1024 * 1024
 MAX_FILE_LABEL = "50MB"
 # --------------------------------------------------------------------------
 
-ERROR_LIST_LIMIT = 20
-
 
 def validate(requests: DataFrame, listing: DataFrame, utf8_ok: DataFrame | None = None,
              path_col: str = "file_path") -> DataFrame:
@@ -78,8 +76,27 @@ def store_id_of(batch_id: F.Column) -> F.Column:
     return F.concat(F.lit("stores/"), F.substring(F.sha2(batch_id.cast("string"), 256), 1, 16))
 
 
-def load_outcome(validated: DataFrame, load_errors: DataFrame | None = None,
-                 error_list_limit: int = ERROR_LIST_LIMIT) -> DataFrame:
+def file_outcomes(validated: DataFrame, load_errors: DataFrame | None = None) -> DataFrame:
+    """A6 per file: (batch_id, pos, file_path, outcome, error), outcome
+    ``uploaded``, ``invalid`` or ``failed``."""
+    v = _with_load_errors(validated, load_errors)
+    outcome = (F.when(~F.col("valid"), F.lit("invalid")).when(F.col("_lerr").isNotNull(), F.lit("failed")).otherwise(F.lit("uploaded")))
+    return v.select("batch_id", "pos", "file_path", outcome.alias("outcome"), F.coalesce(F.col("error"), F.col("_lerr")).alias("error"))
+
+
+def store_documents(outcomes: DataFrame) -> DataFrame:
+    """(store_id, batch_id, pos, file_path): a row per uploaded file."""
+    return outcomes.where("outcome = 'uploaded'").select(store_id_of(F.col("batch_id")).alias("store_id"), "batch_id", "pos", "file_path")
+
+
+def _with_load_errors(v: DataFrame, load_errors: DataFrame | None) -> DataFrame:
+    if load_errors is None:
+        return v.withColumn("_lerr", F.lit(None).cast("string"))
+    le = load_errors.select("batch_id", F.col("file_path").alias("_lp"), F.col("error").alias("_lerr"))
+    return v.join(le, (v["batch_id"] == le["batch_id"]) & (v["file_path"] == le["_lp"]), "left").drop(le["batch_id"]).drop("_lp")
+
+
+def load_outcome(validated: DataFrame, load_errors: DataFrame | None = None) -> DataFrame:
     """SNK7 + A6 + A7 per batch.
 
     ``validated``: batch_id, pos, file_path, valid, error, size, extension (and
@@ -93,12 +110,7 @@ def load_outcome(validated: DataFrame, load_errors: DataFrame | None = None,
         v = v.withColumn("doc_type", F.lit(None).cast("string"))
     if "description" not in v.columns:
         v = v.withColumn("description", F.lit(None).cast("string"))
-    if load_errors is not None:
-        le = load_errors.select("batch_id", F.col("file_path").alias("_lp"), F.col("error").alias("_lerr"))
-        v = v.join(le, (v["batch_id"] == le["batch_id"]) & (v["file_path"] == le["_lp"]), "left") \
-            .drop(le["batch_id"]).drop("_lp")
-    else:
-        v = v.withColumn("_lerr", F.lit(None).cast("string"))
+    v = _with_load_errors(v, load_errors)
     loaded = F.col("valid") & F.col("_lerr").isNull()
     agg = v.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("n_files"),
@@ -111,18 +123,19 @@ def load_outcome(validated: DataFrame, load_errors: DataFrame | None = None,
         F.max("doc_type").alias("req_doc_type"),
         F.max(F.when(F.col("description") != "", F.col("description"))).alias("req_description"),
     )
-    # Error text lists the first few invalid files in input order.
-    errs = (v.where(~F.col("valid"))
-            .withColumn("rn", F.row_number().over(Window.partitionBy("batch_id").orderBy("pos")))
-            .where(F.col("rn") <= error_list_limit)
-            .groupBy("batch_id")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "error"))),
-                                          lambda s: s["error"]), "\n").alias("first_errors")))
-    out = agg.join(errs, "batch_id", "left")
+    # All errors in input order; file_outcomes has them as rows
+    def joined(which: F.Column, text: F.Column) -> F.Column:
+        parts = F.array_sort(F.collect_list(F.when(which, F.struct("pos", text.alias("t")))))
+        return F.array_join(F.transform(parts, lambda s: s["t"]), "\n")
+
+    bad = v.where(~loaded).groupBy("batch_id").agg(
+        joined(~F.col("valid"), F.col("error")).alias("invalid_errors"),
+        joined(F.col("valid"), F.concat("file_path", F.lit(": "), "_lerr")).alias("load_errors"))
+    out = agg.join(bad, "batch_id", "left")
     success = F.col("n_loaded") > 0
     error = (F.when(F.col("n_valid") == 0, F.concat(F.lit("No valid files to upload:\n"),
-                                                      F.coalesce(F.col("first_errors"), F.lit(""))))
-             .when(F.col("n_loaded") == 0, F.lit("All file uploads failed")))
+                                                      F.coalesce(F.col("invalid_errors"), F.lit(""))))
+             .when(F.col("n_loaded") == 0, F.concat(F.lit("All file uploads failed:\n"), F.coalesce(F.col("load_errors"), F.lit("")))))
     doc_type = F.coalesce(F.col("req_doc_type"), F.col("first_valid.stem"))
     return out.select(
         "batch_id",

@@ -20,19 +20,18 @@ join, no broadcast of an unbounded side; the probe skips the shared
 gram.  Exact and case-insensitive hits are substring hits too, so all four
 keyword tiers come out of this one join and one aggregation per request.
 
-Message lists (ambiguous matches, available keywords) name at most
-``list_limit`` keywords in registry order, followed by "... (N in total)"
-when there are more; counts are always exact.
+Message lists (ambiguous matches, available keywords) name every keyword, in
+registry order.  Where such a list is unwieldy, :func:`keyword_matches` has
+the matches as rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import urls as U
 
-LIST_LIMIT = 20
 GRAM = 8
 
 
@@ -67,56 +66,47 @@ def _probe(col: F.Column) -> F.Column:
     return F.when(n <= GRAM, col).otherwise(F.substring(col, start, F.lit(GRAM)))
 
 
-def _name_list(matches: DataFrame, key: str, limit: int) -> DataFrame:
-    """Per ``key``: comma list of the first ``limit`` keywords by pos (the
-    row_number filter becomes a per-task group limit before the shuffle)."""
-    w = Window.partitionBy(key).orderBy("pos")
-    top = matches.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
-    listed = top.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "keyword"))), lambda s: s["keyword"]),
-                     ", ").alias("names"))
-    return listed
+def _names(entries: DataFrame, *key: str) -> DataFrame:
+    """Per ``key`` (or over all): the keywords by pos, comma-separated."""
+    by_pos = F.array_sort(F.collect_list(F.struct("pos", "keyword")))
+    return entries.groupBy(*key).agg(F.array_join(F.transform(by_pos, lambda s: s["keyword"]), ", ").alias("names"))
 
 
-def _registry_summary(registry: DataFrame, limit: int) -> tuple[int, str]:
-    n = registry.count()
-    row = _name_list(registry.select(F.lit(1).alias("one"), "pos", "keyword"), "one", limit).first()
-    return n, (row["names"] if row else "")
+def _hits(req: DataFrame, registry: DataFrame) -> DataFrame:
+    """Keyword requests with each registry entry whose keyword contains them."""
+    reg = registry.select("pos", "keyword", "url", F.lower("keyword").alias("key_l"))
+    kw = req.where((F.col("keyword_or_url") != "") & ~U.is_url("keyword_or_url"))
+    reg_grams = reg.select("pos", "keyword", "url", "key_l",
+                           F.explode(_key_grams(F.col("key_l"), _probe_lengths(kw, "kw_l"))).alias("g"))
+    probes = kw.select("req_id", "keyword_or_url", "kw_l", _probe(F.col("kw_l")).alias("g"))
+    return (probes.join(reg_grams, "g").where(F.instr("key_l", F.col("kw_l")) > 0)
+            .select("req_id", "keyword_or_url", "kw_l", "pos", "keyword", "url", "key_l"))
+
+
+def keyword_matches(requests: DataFrame, registry: DataFrame) -> DataFrame:
+    """A11 as rows: (req_id, pos, keyword) of every registry keyword that contains the request."""
+    req = requests.select("req_id", "keyword_or_url", F.lower("keyword_or_url").alias("kw_l"))
+    return _hits(req, registry).select("req_id", "pos", "keyword")
 
 
-def resolve_keywords(requests: DataFrame, registry: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
+def resolve_keywords(requests: DataFrame, registry: DataFrame) -> DataFrame:
     """requests(req_id, keyword_or_url) x registry(pos, keyword, url) ->
     (req_id, keyword_or_url, tier, url, error)."""
     req = requests.select("req_id", "keyword_or_url", F.lower("keyword_or_url").alias("kw_l"))
-    reg = registry.select("pos", "keyword", "url", F.lower("keyword").alias("key_l"))
-    is_kw = (F.col("keyword_or_url") != "") & ~U.is_url("keyword_or_url")
-    lengths = _probe_lengths(req.where(is_kw), "kw_l")
-    reg_grams = reg.select("pos", "keyword", "url", "key_l",
-                           F.explode(_key_grams(F.col("key_l"), lengths)).alias("g"))
-    probes = req.where(is_kw).select("req_id", "keyword_or_url", "kw_l", _probe(F.col("kw_l")).alias("g"))
-    hits = (probes.join(reg_grams, "g")
-            .where(F.instr("key_l", F.col("kw_l")) > 0)
-            .select("req_id", "keyword_or_url", "kw_l", "pos", "keyword", "url", "key_l"))
+    hits = _hits(req, registry)
     per_req = hits.groupBy("req_id").agg(
         F.max(F.when(F.col("keyword") == F.col("keyword_or_url"), F.col("url"))).alias("exact_url"),
         F.min(F.when(F.col("key_l") == F.col("kw_l"), F.struct("pos", "url"))).alias("ci"),
         F.count(F.lit(1)).alias("n_sub"),
         F.min(F.struct("pos", "url")).alias("sub"),
     )
-    ambiguous = _name_list(hits.select("req_id", "pos", "keyword"), "req_id", list_limit)
-    # Registry-wide message parts: one bounded row (a count and at most
-    # ``list_limit`` names, top-k taken per task before the final merge).
-    n_reg, available = _registry_summary(registry, list_limit)
+    ambiguous = _names(hits, "req_id")
+    # the registry's names: one row, joined to the requests that nothing matches
+    available = _names(registry.select("pos", "keyword")).select(F.lit("not_found").alias("tier"), F.col("names").alias("available"))
 
-    out = req.join(per_req, "req_id", "left").join(ambiguous, "req_id", "left") \
-        .withColumn("n_reg", F.lit(n_reg)).withColumn("available", F.lit(available))
+    out = req.join(per_req, "req_id", "left").join(ambiguous, "req_id", "left")
     kw = F.col("keyword_or_url")
     n_sub = F.coalesce(F.col("n_sub"), F.lit(0))
-
-    def more(total: F.Column) -> F.Column:
-        return F.when(total > list_limit, F.concat(F.lit(" ... ("), total.cast("string"), F.lit(" in total)"))) \
-            .otherwise(F.lit(""))
-
     out = out.withColumn("_is_url", U.is_url(kw))
     tier = (F.when(kw.isNull() | (kw == ""), F.lit("empty"))
             .when(F.col("_is_url"), F.lit("url"))
@@ -126,16 +116,16 @@ def resolve_keywords(requests: DataFrame, registry: DataFrame, list_limit: int =
             .when(n_sub > 1, F.lit("ambiguous"))
             .otherwise(F.lit("not_found")))
     # staged: tier is a column computed once, then read by url and error
-    out = out.withColumn("tier", tier)
+    out = out.withColumn("tier", tier).join(F.broadcast(available), "tier", "left")
     tier = F.col("tier")
     url = (F.when(tier == "url", kw).when(tier == "exact", F.col("exact_url"))
            .when(tier == "case_insensitive", F.col("ci.url")).when(tier == "substring", F.col("sub.url")))
     error = (F.when(tier == "empty", F.lit("keyword_or_url cannot be empty"))
              .when(tier == "ambiguous", F.concat(F.lit("Keyword '"), kw, F.lit("' matches multiple APIs: "),
-                                                 F.col("names"), more(n_sub), F.lit(". Please be more specific.")))
+                                                 F.col("names"), F.lit(". Please be more specific.")))
              .when(tier == "not_found", F.concat(F.lit("Keyword '"), kw,
                                                  F.lit("' not found in URL config. Available keywords: "),
-                                                 F.coalesce(F.col("available"), F.lit("")), more(F.col("n_reg")))))
+                                                 F.coalesce(F.col("available"), F.lit("")))))
     return out.select("req_id", "keyword_or_url", tier.alias("tier"), url.alias("url"), error.alias("error"))
 
 

@@ -47,6 +47,16 @@ def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(marker, F.col("html"), F.lit("<script>"), pad, F.lit("</script>")).alias("html"))
 
 
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with four more links: below the page, beside it, to its host's
+    root and to another host."""
+    p = T.pages(spark, sf_dir)
+    path = U.scope_path("url")
+    links = F.concat(F.lit('<a href="'), path, F.lit("/part?p=1#x\"></a><a href='"), F.lit("beside.html'></a><a class=\"a\" href=/></a><a href=\"https://other.example/"),
+                     path, F.lit('/part">o</a>'))
+    return p.select("page_id", "url", F.concat(links, F.col("html")).alias("html"))
+
+
 def host_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URL registry from page hosts: keyword = host, url = https://host/,
     pos = first page id of the host."""

@@ -66,13 +66,17 @@ SELECT page_id, {X.is_url('url')} AS is_url, {X.url_scheme('url')} AS scheme, {X
 FROM pages"""
 
 
+LINKED = f"""(SELECT url, '<a href="' || {X.scope_path('url')} || '/part?p=1#x"></a><a href=''beside.html''></a><a class="a" href=/></a><a href="https://other.example/'
+    || {X.scope_path('url')} || '/part">o</a>' || html AS html FROM pages)"""
+
+
 def _links_sql(scope: str) -> str:
     steps = X.url_join_ctes("hrefs", "src", "href", "dst")
     ctes = ",\n".join(f"{n} AS ({s})" for n, s in steps)
     cond = f"{X.url_netloc('dst')} = {X.url_netloc('src')}"
     if scope == "page":
         cond += f" AND starts_with({X.scope_path('dst')}, {X.scope_path('src')})"
-    return f"""WITH raw AS (SELECT url AS src, unnest({X.href_values('html')}) AS v FROM pages),
+    return f"""WITH raw AS (SELECT url AS src, unnest({X.href_values('html')}) AS v FROM {LINKED if scope == "page" else "pages"}),
 dec AS (SELECT src, {X.defrag(X.unquote_decode('v'))} AS href FROM raw),
 hrefs AS (SELECT src, href FROM dec WHERE href <> ''),
 {ctes}
@@ -86,7 +90,6 @@ HOSTS = f"""
 pg AS (SELECT page_id, url, {X.url_netloc('url')} AS host FROM pages),
 reg AS (SELECT min(page_id) AS pos, host AS keyword, 'https://' || host || '/' AS url FROM pg GROUP BY host)"""
 
-LL = J.LIST_LIMIT
 RESOLVE_KEYWORDS = f"""WITH {HOSTS},
 req AS (
   SELECT page_id * 5 + 0 AS req_id, url AS keyword_or_url FROM pg UNION ALL
@@ -105,14 +108,12 @@ per AS (
   FROM hits GROUP BY req_id),
 amb AS (
   SELECT req_id, string_agg(keyword, ', ' ORDER BY pos) AS names
-  FROM (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY pos) AS rn FROM hits) WHERE rn <= {LL}
-  GROUP BY req_id),
+  FROM hits GROUP BY req_id),
 avail AS (SELECT string_agg(keyword, ', ' ORDER BY pos) AS available
-          FROM (SELECT keyword, pos FROM reg ORDER BY pos LIMIT {LL})),
-nreg AS (SELECT count(*) AS n_reg FROM reg),
+          FROM reg),
 t AS (
   SELECT req.req_id, req.keyword_or_url, per.exact_url, per.ci_url, coalesce(per.n_sub, 0) AS n_sub, per.sub_url,
-         amb.names, avail.available, nreg.n_reg,
+         amb.names, avail.available,
          CASE WHEN req.keyword_or_url IS NULL OR req.keyword_or_url = '' THEN 'empty'
               WHEN {X.is_url('req.keyword_or_url')} THEN 'url'
               WHEN per.exact_url IS NOT NULL THEN 'exact'
@@ -120,17 +121,15 @@ t AS (
               WHEN coalesce(per.n_sub, 0) = 1 THEN 'substring'
               WHEN coalesce(per.n_sub, 0) > 1 THEN 'ambiguous'
               ELSE 'not_found' END AS tier
-  FROM req LEFT JOIN per USING (req_id) LEFT JOIN amb USING (req_id) CROSS JOIN avail CROSS JOIN nreg)
+  FROM req LEFT JOIN per USING (req_id) LEFT JOIN amb USING (req_id) CROSS JOIN avail)
 SELECT req_id, keyword_or_url, tier,
        CASE tier WHEN 'url' THEN keyword_or_url WHEN 'exact' THEN exact_url WHEN 'case_insensitive' THEN ci_url
                  WHEN 'substring' THEN sub_url END AS url,
        CASE tier WHEN 'empty' THEN 'keyword_or_url cannot be empty'
                  WHEN 'ambiguous' THEN 'Keyword ''' || keyword_or_url || ''' matches multiple APIs: ' || names
-                      || CASE WHEN n_sub > {LL} THEN ' ... (' || n_sub || ' in total)' ELSE '' END
                       || '. Please be more specific.'
                  WHEN 'not_found' THEN 'Keyword ''' || keyword_or_url
                       || ''' not found in URL config. Available keywords: ' || coalesce(available, '')
-                      || CASE WHEN n_reg > {LL} THEN ' ... (' || n_reg || ' in total)' ELSE '' END
        END AS error
 FROM t"""
 
@@ -237,17 +236,41 @@ agg AS (
          arg_min({X.file_stem('file_path')}, pos) FILTER (WHERE valid) AS first_stem
   FROM v2 GROUP BY batch_id),
 errs AS (
-  SELECT batch_id, string_agg(error, {NL} ORDER BY pos) AS first_errors
-  FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY pos) AS rn FROM v2 WHERE NOT valid)
-  WHERE rn <= {V.ERROR_LIST_LIMIT} GROUP BY batch_id)
+  SELECT batch_id, string_agg(error, {NL} ORDER BY pos) FILTER (WHERE NOT valid) AS invalid_errors,
+         string_agg(file_path || ': upload failed', {NL} ORDER BY pos) FILTER (WHERE valid AND load_failed) AS load_errors
+  FROM v2 GROUP BY batch_id)
 SELECT batch_id, CASE WHEN n_loaded > 0 THEN {_STORE_ID.format(b='batch_id')} END AS store_id,
        first_stem AS doc_type, n_files, n_valid, n_invalid, n_loaded, n_load_failed, loaded_bytes,
        n_loaded > 0 AS success,
-       CASE WHEN n_valid = 0 THEN 'No valid files to upload:' || {NL} || coalesce(first_errors, '')
-            WHEN n_loaded = 0 THEN 'All file uploads failed' END AS error,
+       CASE WHEN n_valid = 0 THEN 'No valid files to upload:' || {NL} || coalesce(invalid_errors, '')
+            WHEN n_loaded = 0 THEN 'All file uploads failed:' || {NL} || coalesce(load_errors, '') END AS error,
        'Multiple files upload: ' || n_loaded || ' files' AS description
 FROM agg LEFT JOIN errs USING (batch_id)"""
 
+FILE_OUTCOMES = f"""WITH {FILES}
+SELECT v.batch_id, v.pos, v.file_path,
+       CASE WHEN NOT v.valid THEN 'invalid' WHEN le.file_path IS NOT NULL THEN 'failed' ELSE 'uploaded' END AS outcome,
+       CASE WHEN NOT v.valid THEN v.error WHEN le.file_path IS NOT NULL THEN 'upload failed' END AS error
+FROM validated v LEFT JOIN le ON le.batch_id = v.batch_id AND le.file_path = v.file_path"""
+
+STORE_DOCUMENTS = f"""SELECT {_STORE_ID.format(b='batch_id')} AS store_id, batch_id, pos, file_path
+FROM ({FILE_OUTCOMES}) WHERE outcome = 'uploaded'"""
+
+FILE_COUNTS = f"""WITH {FILES}
+SELECT {X.file_ext('path')} AS extension, count(*) AS file_count, CAST(sum(length) AS BIGINT) AS total_size FROM lst GROUP BY 1"""
+
+REGISTERED_LATEST = f"""
+SELECT substr(batch_id, 1, 4) AS doc_type, arg_min(store_id, (length(batch_id) % 2, batch_id)) AS rag_id, {X.lit(D.CRAWLED_AT)} AS created_at
+FROM ({LOAD_OUTCOME}) WHERE success GROUP BY 1"""
+
+STORES_OF_TYPE = f"""WITH {STORES} SELECT doc_type, pos, rag_id, created_at, description FROM stores WHERE doc_type = {X.lit(D.PRIORITY_DOC_TYPES[0])}"""
+
+ORDERED_ENTRIES = f"WITH {STORES} SELECT doc_type, pos, rag_id, created_at, description FROM stores"
+
+REGISTRY_TIMES = """
+SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS INTEGER)) + INTERVAL 9 HOUR, '%Y/%m/%d %H:%M:%S') AS registry_time
+FROM orders"""
+
 LOAD_STORE = f"""WITH {FILES},
 j AS (SELECT r.*, p.path AS _path FROM req r LEFT JOIN (SELECT DISTINCT path FROM lst) p ON p.path = r.file_path),
 agg AS (SELECT batch_id, batch_id AS doc_type, count(file_path) AS n_files,
@@ -434,6 +457,13 @@ SELECT prompt_id, doc_type, CASE WHEN err IS NULL THEN store_id END AS store_id,
 FROM j"""
 
 ORACLE: dict[str, str] = {
+    "file_outcomes": FILE_OUTCOMES,
+    "store_documents": STORE_DOCUMENTS,
+    "file_counts": FILE_COUNTS,
+    "registered_latest": REGISTERED_LATEST,
+    "stores_of_type": STORES_OF_TYPE,
+    "ordered_entries": ORDERED_ENTRIES,
+    "registry_times": REGISTRY_TIMES,
     "site_render_needs": SITE_RENDER_NEEDS,
     "page_features": PAGE_FEATURES,
     "url_parts": URL_PARTS,

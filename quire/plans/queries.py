@@ -52,9 +52,8 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_links_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Crawler scope (page path prefix): on the driver pages every href is
-    root-relative, so this is expected to be (nearly) empty."""
-    return L.extract_links(T.pages(spark, sf_dir), scope="page")
+    """Crawler scope (page path prefix), over pages with links of every kind."""
+    return L.extract_links(D.linked_pages(spark, sf_dir), scope="page")
 
 
 def resolve_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +70,59 @@ def latest_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.latest_store(D.stores(spark, sf_dir))
 
 
+def stores_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the entries of one doc_type."""
+    return S.stores_of_type(D.stores(spark, sf_dir), D.PRIORITY_DOC_TYPES[0]).select("doc_type", "pos", "rag_id", "created_at", "description")
+
+
+def ordered_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 as rows, after SNK3 and its read-back."""
+    from quire.session import scratch_path
+    from quire.sources import registry as REG
+
+    out = scratch_path(spark, "registry")
+    REG.export_store_registry(D.stores(spark, sf_dir), out)
+    return S.ordered_entries(REG.scan_store_registry_lines(spark, out))
+
+
+def registered_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK7, SNK2, W1: the stores of all loaded batches are registered in two
+    batches at one time; the first of a doc_type stays the latest."""
+    from quire.session import scratch_path
+
+    path = scratch_path(spark, "stores")
+    loaded = load_outcome(spark, sf_dir).where("success").select(
+        F.substring("batch_id", 1, 4).alias("doc_type"), F.col("store_id").alias("rag_id"), F.col("batch_id").alias("description"))
+    even = F.length("description") % 2 == 0
+    for batch in (loaded.where(even), loaded.where(~even)):
+        S.register_stores(path, batch.withColumn("pos", F.col("description")), D.CRAWLED_AT)
+    return S.latest_store(spark.read.parquet(path))
+
+
+def file_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 per file: uploaded, invalid or failed."""
+    return V.file_outcomes(file_validation(spark, sf_dir), D.load_errors(spark, sf_dir))
+
+
+def store_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.store_documents(file_outcomes(spark, sf_dir))
+
+
+def file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: files and bytes by extension."""
+    listing = D.file_listing(spark, sf_dir).select(U.file_ext("path").alias("extension"), F.col("length").alias("size"))
+    return V.file_counts(listing, by="extension")
+
+
+def registry_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates as registry time strings, by month."""
+    from quire.functions import dates as DT
+
+    o = T.table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
+    hours = F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+    return o.select("o_orderkey", DT.registry_time_of(F.col("o_orderdate").cast("timestamp_ntz") + hours).alias("registry_time"))
+
+
 def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.store_counts(D.stores(spark, sf_dir))
 
@@ -229,6 +281,13 @@ QUERIES: dict[str, Query] = {
     "infer_doc_type": infer_doc_type,
     "latest_store": latest_store,
     "store_counts": store_counts,
+    "stores_of_type": stores_of_type,
+    "ordered_entries": ordered_entries,
+    "registered_latest": registered_latest,
+    "file_outcomes": file_outcomes,
+    "store_documents": store_documents,
+    "file_counts": file_counts,
+    "registry_times": registry_times,
     "expired_stores": expired_stores,
     "retention_report": retention_report,
     "retention_summary": retention_summary,

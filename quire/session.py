@@ -45,8 +45,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir). Only when nothing is configured -- local tests -- a
-    private folder is created and registered.
+    checkpoint dir). Where nothing is configured, a session in one process
+    (``local[n]``, tests) gets a private folder; a cluster raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,7 +54,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
-        conf = tempfile.mkdtemp(prefix="quire-ckpt-")
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        conf = tempfile.mkdtemp(prefix="quire-ckpt-")  # a single process: its own folder is shared
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 URL_REGISTRY_SCHEMA = "apis map<string, struct<name: string, url: string, description: string>>"
 STORE_ENTRY_SCHEMA = "array<struct<rag_id: string, created_at: string, doc_type: string, description: string>>"
-STORES_DDL = "doc_type string, pos int, rag_id string, created_at string, description string"
+STORES_DDL = "doc_type string, pos bigint, rag_id string, created_at string, description string"
 REGISTRY_DDL = "pos int, keyword string, name string, url string, description string"
 
 
@@ -100,7 +100,7 @@ def scan_store_registry(spark: SparkSession, path: str) -> DataFrame:
     per_type = doc.select(F.explode(F.from_json("value", "rags map<string, string>")["rags"]).alias("doc_type", "raw"))
     as_array = F.when(F.ltrim("raw").startswith("["), F.col("raw")).otherwise(F.concat(F.lit("["), "raw", F.lit("]")))
     return per_type.select("doc_type", F.posexplode(F.from_json(as_array, STORE_ENTRY_SCHEMA)).alias("pos", "e")) \
-        .select("doc_type", F.col("pos").cast("int").alias("pos"), F.col("e.rag_id").alias("rag_id"),
+        .select("doc_type", F.col("pos").cast("bigint").alias("pos"), F.col("e.rag_id").alias("rag_id"),
                 F.col("e.created_at").alias("created_at"), F.col("e.description").alias("description"))
 
 
@@ -114,3 +114,14 @@ def export_store_registry(stores: DataFrame, path: str) -> None:
 def scan_store_registry_lines(spark: SparkSession, path: str) -> DataFrame:
     """Read an SNK3 export back (explicit schema, no inference)."""
     return spark.read.schema(STORES_DDL).json(path)
+
+
+def export_store_registry_document(stores: DataFrame, path: str) -> None:
+    """SNK3 in the form of one document, ``{"rags": {doc_type: [entry, ...]}}``
+    (A5), entries by pos; read back by :func:`scan_store_registry`.  One row
+    holds it all, so it is for registries of a configuration's size."""
+    entry = F.struct("rag_id", "created_at", "doc_type", "description")
+    lists = stores.groupBy("doc_type").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", entry.alias("e")))), lambda s: s["e"]).alias("entries"))
+    document = lists.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("doc_type", "entries")))).alias("rags"))
+    document.select(F.to_json(F.struct("rags")).alias("value")).write.mode("overwrite").text(path)

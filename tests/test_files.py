@@ -71,7 +71,7 @@ def test_load_outcome_partial_and_defaults(spark):
     b1 = got["b1"]
     assert (b1.n_loaded, b1.n_load_failed, b1.n_invalid, b1.success, b1.doc_type) == (1, 1, 1, True, "myfile")
     assert b1.description == "Multiple files upload: 1 files" and b1.store_id.startswith("stores/")
-    assert got["b2"].success is False and got["b2"].error == "All file uploads failed" and got["b2"].store_id is None
+    assert got["b2"].success is False and got["b2"].error == "All file uploads failed:\n/d/a.txt: boom" and got["b2"].store_id is None
     assert got["b3"].error.startswith("No valid files to upload:")
 
 
@@ -118,3 +118,14 @@ def test_file_counts(spark):
                                 "path string, name string, size bigint, doc_type string")
     assert {r.doc_type: (r.file_count, r.total_size) for r in V.file_counts(lst).collect()} == {"a": (2, 7), "b": (1, 1)}
     assert tuple(V.file_counts(lst, by=None).first()) == (3, 8)
+
+
+def test_outcomes_per_file(spark):
+    val = spark.createDataFrame([("b", i, f"/d/{i}.txt", i % 3 > 0, None if i % 3 else f"bad {i}", 1, ".txt") for i in range(40)],
+                                "batch_id string, pos int, file_path string, valid boolean, error string, size bigint, extension string")
+    errs = spark.createDataFrame([("b", f"/d/{i}.txt", "boom") for i in range(1, 40, 3)], "batch_id string, file_path string, error string")
+    out = {r.pos: (r.outcome, r.error) for r in V.file_outcomes(val, errs).collect()}
+    assert out == {i: [("invalid", f"bad {i}"), ("failed", "boom"), ("uploaded", None)][i % 3] for i in range(40)}
+    assert {r.pos for r in V.store_documents(V.file_outcomes(val, errs)).collect()} == set(range(2, 40, 3))
+    none_valid = V.load_outcome(val.where("not valid")).first()
+    assert none_valid.error == "No valid files to upload:\n" + "\n".join(f"bad {i}" for i in range(0, 40, 3))
