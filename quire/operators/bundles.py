@@ -44,11 +44,12 @@ def bundle_blocks(pages: DataFrame, crawled_at: str) -> DataFrame:
     ``ord`` is the visit order inside the doc_type (for a crawl: depth, then
     url); the smallest ord carries the front matter.
     """
-    from quire.operators.common import maybe_broadcast
+    from quire.operators.common import sized
 
-    # one row per doc_type (partial aggregate); broadcast after a size check so
-    # a doc_type holding a third of the pages is never a skewed join key
-    first = maybe_broadcast(pages.groupBy("doc_type").agg(F.min(F.struct("ord", "url")).alias("f")))
+    # one row per doc_type (partial aggregate) over the slim columns, written so
+    # that its size is known: small ones are broadcast, so a doc_type holding a
+    # third of the pages is no skewed join key
+    first = sized(pages.groupBy("doc_type").agg(F.min(F.struct("ord", "url")).alias("f")), "first-pages")
     j = pages.join(first, "doc_type")
     is_first = F.col("ord") == F.col("f.ord")
     block = F.concat(

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 1_000_000
+from quire.session import scratch_path
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its row count is checked to be small
-    (one cheap job); otherwise leave the join strategy to Spark/AQE."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def sized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared scratch folder and read back.
+
+    The planner then knows its true size in bytes: Spark broadcasts it below
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it beyond.  Its
+    input is not computed again, and a lost executor re-reads the files."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -34,25 +34,20 @@ from quire.session import checkpoint_root, scratch_path
 DEFAULT_MAX_DEPTH = 3
 
 
-def prepare_edges(edges: DataFrame, num_buckets: int | None = None) -> DataFrame:
-    """Distinct (src, dst) materialised once in the shared folder.
+def prepare_edges(edges: DataFrame, num_buckets: int | None = None) -> str:
+    """Name of a table of the distinct (src, dst), written once to the shared folder.
 
     Written as a table bucketed (and sorted) by ``src``: every level's join
     on ``src`` then reads the edges already hash-partitioned, so only the
-    frontier is shuffled.  When the catalog does not accept a table, a
-    plain reliable checkpoint is used (same result, the edges are then
-    re-shuffled for a level whose frontier is too big to broadcast).
+    frontier is shuffled.  ``bfs`` drops the table's entry when it is done.
     """
     spark = edges.sparkSession
     distinct = edges.select("src", "dst").distinct()
     n = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, "edges")
     name = "quire_edges_" + path.rsplit("-", 1)[-1]
-    try:
-        distinct.write.bucketBy(n, "src").sortBy("src").option("path", path).mode("overwrite").saveAsTable(name)
-        return spark.table(name)
-    except Exception:  # no writable catalog: fall back to a checkpoint
-        return distinct.checkpoint(eager=True)
+    distinct.write.bucketBy(n, "src").sortBy("src").option("path", path).mode("overwrite").saveAsTable(name)
+    return name
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH,
@@ -66,7 +61,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH,
         raise ValueError("max_depth must be >= 0")
     spark = seeds.sparkSession
     checkpoint_root(spark)
-    e = edges if prepared else prepare_edges(edges)
+    name = None if prepared else prepare_edges(edges)
+    e = edges if prepared else spark.table(name)
     level = seeds.select("seed", "url").distinct().withColumn("depth", F.lit(0)).checkpoint(eager=True)
     levels = [level]
     visited = level.select("seed", "url")
@@ -86,6 +82,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH,
         levels.append(nxt)
         visited = visited.unionByName(nxt.select("seed", "url"))
         level = nxt
+    if name is not None:  # all levels are checkpointed: nothing reads the edges any more
+        spark.sql(f"DROP TABLE {name}")
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)

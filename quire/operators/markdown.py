@@ -7,8 +7,9 @@ Arrow-batched ``mapInPandas`` over the page table, one small stdlib
 collected.  Use it only on the pages that are kept (after the crawl), and
 project ``html`` away right after.
 
-Grammar (our own, not byte-compatible with any library): scripts, styles and
-images dropped; h1-h6 -> ``#`` prefix; paragraphs and block elements
+Grammar (our own, not byte-compatible with any library): scripts, styles, the
+title and images dropped, all other text kept; table cells separated by a
+space; h1-h6 -> ``#`` prefix; paragraphs and block elements
 separated by a blank line; ``<br>`` -> newline; ``<li>`` -> ``  * `` (or
 ``  1. `` inside ``<ol>``); ``<a href>`` -> ``[text](href)``; strong/b ->
 ``**``, em/i -> ``_``, code -> backticks, pre kept verbatim in a fence;
@@ -23,8 +24,8 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 
 _BLOCK = {"p", "div", "section", "article", "header", "footer", "nav", "main", "aside", "table", "tr",
-          "blockquote", "ul", "ol", "dl", "dt", "dd", "figure", "form", "hr", "body", "html", "title"}
-_SKIP = {"script", "style", "noscript", "template", "head"}
+          "blockquote", "ul", "ol", "dl", "dt", "dd", "figure", "form", "hr", "body", "html"}
+_SKIP = {"script", "style", "title"}
 _WS = re.compile(r"\s+")
 
 
@@ -41,7 +42,7 @@ class _Md(HTMLParser):
         self.out.append("\n" * n)
 
     def handle_starttag(self, tag, attrs):
-        if tag in _SKIP and tag != "head":
+        if tag in _SKIP:
             self.skip += 1
             return
         if self.skip:
@@ -72,11 +73,13 @@ class _Md(HTMLParser):
             self.pre += 1
             self._break()
             self.out.append("```\n")
+        elif tag in ("td", "th"):
+            self.out.append(" ")
         elif tag in _BLOCK:
             self._break()
 
     def handle_endtag(self, tag):
-        if tag in _SKIP and tag != "head":
+        if tag in _SKIP:
             self.skip = max(self.skip - 1, 0)
             return
         if self.skip:

@@ -54,15 +54,13 @@ def render_fallback(pages: DataFrame, renders: DataFrame | None, renderer_availa
     if renders is None:
         j = pages.withColumn("_r", F.lit(None).cast("struct<ok:boolean,markdown:string,error:string>"))
     else:
-        from quire.operators.common import maybe_broadcast
-
         r = renders.select(F.col("url").alias("_rurl"),
                            render_outcome(F.col("status"), F.col("success"), F.col("markdown"),
                                           F.col("error")).alias("_r"))
         # one left join; only dynamic pages match (the flag is part of the
-        # condition), and the render side is broadcast when its size allows,
-        # so the wide html column is not shuffled
-        j = pages.join(maybe_broadcast(r), (F.col("url") == F.col("_rurl")) & use, "left").drop("_rurl")
+        # condition).  Spark broadcasts the renders where they are small, so
+        # the wide html column is then not shuffled
+        j = pages.join(r, (F.col("url") == F.col("_rurl")) & use, "left").drop("_rurl")
     rendered = use & F.coalesce(F.col("_r.ok"), F.lit(False))
     state = (F.when(~F.col("is_dynamic"), F.lit("not_needed"))
              .when(F.lit(not renderer_available), F.lit("unavailable"))

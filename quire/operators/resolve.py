@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import urls as U
+from quire.operators.common import sized
 
 GRAM = 8
 
@@ -102,7 +103,7 @@ def resolve_keywords(requests: DataFrame, registry: DataFrame) -> DataFrame:
     )
     ambiguous = _names(hits, "req_id")
     # the registry's names: one row, joined to the requests that nothing matches
-    available = _names(registry.select("pos", "keyword")).select(F.lit("not_found").alias("tier"), F.col("names").alias("available"))
+    available = sized(_names(registry.select("pos", "keyword")).select(F.lit("not_found").alias("tier"), F.col("names").alias("available")), "keywords")
 
     out = req.join(per_req, "req_id", "left").join(ambiguous, "req_id", "left")
     kw = F.col("keyword_or_url")
@@ -116,7 +117,7 @@ def resolve_keywords(requests: DataFrame, registry: DataFrame) -> DataFrame:
             .when(n_sub > 1, F.lit("ambiguous"))
             .otherwise(F.lit("not_found")))
     # staged: tier is a column computed once, then read by url and error
-    out = out.withColumn("tier", tier).join(F.broadcast(available), "tier", "left")
+    out = out.withColumn("tier", tier).join(available, "tier", "left")
     tier = F.col("tier")
     url = (F.when(tier == "url", kw).when(tier == "exact", F.col("exact_url"))
            .when(tier == "case_insensitive", F.col("ci.url")).when(tier == "substring", F.col("sub.url")))

@@ -23,7 +23,7 @@ from quire.operators.links import extract_links
 from quire.operators.markdown import html_to_markdown
 from quire.operators.render import render_fallback
 from quire.operators.resolve import infer_doc_type, resolve_keywords
-from quire.operators.common import maybe_broadcast
+from quire.operators.common import sized
 
 
 def crawl_to_bundles(pages: DataFrame, registry: DataFrame, requests: DataFrame, crawled_at: str,
@@ -47,12 +47,14 @@ def crawl_to_bundles(pages: DataFrame, registry: DataFrame, requests: DataFrame,
         .checkpoint(eager=True)
     rendered = facts.where(F.col("content_kind") == "markdown").select("url", "markdown")
     # Links come from pages kept as html (rendered pages are leaves).
-    html_pages = pages.join(maybe_broadcast(rendered.select("url")), "url", "left_anti").select("url", "html")
+    html_pages = pages.join(sized(rendered.select("url"), "rendered"), "url", "left_anti").select("url", "html")
     edges = extract_links(html_pages, scope=scope).select(F.col("src"), F.col("dst"))
     reached = bfs(edges, seed_rows, max_depth).withColumnRenamed("seed", "doc_type")
 
     failed = reached.join(facts.select("url"), "url", "left_anti")
-    hits = maybe_broadcast(reached.join(facts.select("url", "page_id", "content_kind", "markdown"), "url"))
+    # a url may be in several page rows: its first one counts
+    first_page = facts.groupBy("url").agg(F.min_by(F.struct("page_id", "content_kind", "markdown"), "page_id").alias("p"))
+    hits = sized(reached.join(first_page, "url").select(*reached.columns, "p.page_id", "p.content_kind", "p.markdown"), "hits")
     as_md = html_to_markdown(
         pages.select("page_id", "html").join(hits.where(F.col("content_kind") == "html"), "page_id")
         .select("doc_type", "depth", "url", "page_id", "html"), out_col="text")

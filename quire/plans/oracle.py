@@ -456,7 +456,13 @@ j AS (SELECT p.prompt_id, p.doc_type, l.rag_id AS store_id,
 SELECT prompt_id, doc_type, CASE WHEN err IS NULL THEN store_id END AS store_id, err IS NULL AS success, err AS error
 FROM j"""
 
+MARKDOWN_TEXT = f"""WITH t AS (SELECT page_id, html, regexp_replace({X.visible_text("regexp_replace(html, '(?is)<title>.*?</title>', '', 'g')")}, '&amp$', '') AS text FROM pages),
+l AS (SELECT page_id, regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS letters,
+             list_transform({X.href_values('html')}, lambda v: {X.unquote_decode('v')}) AS hrefs FROM t)
+SELECT page_id, md5(letters) AS letters, length(letters) AS n_letters, array_to_string(hrefs, ' ') AS links FROM l"""
+
 ORACLE: dict[str, str] = {
+    "markdown_text": MARKDOWN_TEXT,
     "file_outcomes": FILE_OUTCOMES,
     "store_documents": STORE_DOCUMENTS,
     "file_counts": FILE_COUNTS,

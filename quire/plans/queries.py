@@ -247,6 +247,15 @@ def markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.html_to_markdown(T.pages(spark, sf_dir)).select("page_id", "url", "markdown")
 
 
+def markdown_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P13, gated: the letters and digits of the markdown, and its link targets."""
+    md = M.html_to_markdown(T.pages(spark, sf_dir))
+    link = r"\]\(([^)]*)\)"
+    letters = F.regexp_replace(F.regexp_replace("markdown", link, ""), r"[^\p{L}\p{N}]", "")
+    return md.select("page_id", F.md5(letters).alias("letters"), F.length(letters).cast("bigint").alias("n_letters"),
+                     F.array_join(F.regexp_extract_all("markdown", F.lit(link), 1), " ").alias("links"))
+
+
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.chunk_documents(T.table(spark, sf_dir, "documents", "doc_id", "text", balanced=True))
 
@@ -308,6 +317,7 @@ QUERIES: dict[str, Query] = {
     "bundle_roundtrip": bundle_roundtrip,
     "pages_per_doc_type": pages_per_doc_type,
     "markdown_pages": markdown_pages,
+    "markdown_text": markdown_text,
     "chunk_documents": chunk_documents,
     "retrieve_lexical": retrieve_lexical,
     "retrieve_vector": retrieve_vector,

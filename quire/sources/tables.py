@@ -17,17 +17,21 @@ TABLES = (
 ).split()
 
 
+#: a scan of this many splits or more (about a gigabyte) is never dealt out anew
+SPREAD_SPLITS = 8
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin an under-split scan over the cluster's cores.
 
     A file written as one row group is read by one task, which would run
     the per-row regex / tokenizing work of a whole table single-threaded.
-    When the scan has fewer partitions than the default parallelism the
-    rows are dealt out evenly; a large input (many splits) is returned
-    unchanged, so at scale this adds no shuffle.
+    When the scan has fewer than ``SPREAD_SPLITS`` partitions, and fewer than
+    the default parallelism, the rows are dealt out evenly; any other input
+    is returned unchanged, however many cores there are.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    return df.repartition(target) if df.rdd.getNumPartitions() < min(target, SPREAD_SPLITS) else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str, balanced: bool = False) -> DataFrame:

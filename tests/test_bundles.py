@@ -61,3 +61,8 @@ def test_markdown_properties(spark):
     assert html_to_markdown_text('<p><img src="a.png" alt="pic">x</p>') == "x"
     df = spark.createDataFrame([(1, "<h1>T</h1>")], "page_id int, html string")
     assert html_to_markdown(df).first().markdown == "# T"
+
+
+def test_markdown_keeps_all_visible_text():
+    assert html_to_markdown_text("<table><tr><td>alpha</td><td>beta</td></tr></table>").split() == ["alpha", "beta"]
+    assert html_to_markdown_text("<head><title>no</title></head><noscript>seen</noscript><p>a<template>b<p>c") .split() == ["seen", "ab", "c"]
