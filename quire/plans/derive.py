@@ -192,6 +192,17 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     H.visible_text("html").alias("text"))
 
 
+def store_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the stores: the doc_type by doc_id % 5; every third document
+    is in an older store, which no prompt may search."""
+    from quire.operators.stores import latest_store
+
+    dt = F.element_at(F.array(*[F.lit(x) for x in PRIORITY_DOC_TYPES[:5]]), (F.col("doc_id") % 5 + 1).cast("int"))
+    d = T.table(spark, sf_dir, "documents", "doc_id").withColumn("doc_type", dt)
+    return d.join(latest_store(stores(spark, sf_dir)), "doc_type").select(
+        F.when(F.col("doc_id") % 3 == 0, F.lit("stores/old")).otherwise(F.col("rag_id")).alias("store_id"), "doc_id")
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns of conversations as prompts; doc_type by conv_id % 6 (the
     sixth has no store)."""

@@ -456,12 +456,39 @@ j AS (SELECT p.prompt_id, p.doc_type, l.rag_id AS store_id,
 SELECT prompt_id, doc_type, CASE WHEN err IS NULL THEN store_id END AS store_id, err IS NULL AS success, err AS error
 FROM j"""
 
+_STORE_DT = _case_list(D.PRIORITY_DOC_TYPES[:5], "doc_id % 5")
+ANSWER_PROMPTS = f"""WITH {CHUNKS},
+answers AS ({ASSEMBLE_CONTEXT}),
+sl AS (SELECT DISTINCT doc_type, rag_id FROM (WITH {STORES}, {LATEST} SELECT * FROM latest)),
+sd AS (SELECT d.doc_id, CASE WHEN d.doc_id % 3 = 0 THEN 'stores/old' ELSE sl.rag_id END AS store_id
+       FROM (SELECT doc_id, {_STORE_DT} AS doc_type FROM documents) d JOIN sl ON sl.doc_type = d.doc_type),
+ct AS (SELECT sd.store_id, c.doc_id, c.chunk_no, regexp_extract_all(lower(c.text), {_TOK}) AS toks FROM chunks c JOIN sd ON sd.doc_id = c.doc_id),
+st AS (SELECT store_id, CAST(count(*) AS DOUBLE) AS n, avg(len(toks)) AS avgdl FROM ct GROUP BY store_id),
+qt AS (SELECT DISTINCT a.prompt_id, a.store_id, t.term FROM answers a
+       JOIN (SELECT conv_id * 1000 + turn AS prompt_id, unnest(regexp_extract_all(lower(text), {_TOK})) AS term
+             FROM conversations WHERE role = 'user') t ON t.prompt_id = a.prompt_id WHERE a.success),
+tf AS (SELECT store_id, doc_id, chunk_no, dl, term, count(*) AS tf
+       FROM (SELECT store_id, doc_id, chunk_no, len(toks) AS dl, unnest(toks) AS term FROM ct)
+       WHERE (store_id, term) IN (SELECT (store_id, term) FROM qt) GROUP BY ALL),
+df AS (SELECT store_id, term, count(*) AS df FROM tf GROUP BY store_id, term),
+sc AS (
+  SELECT qt.prompt_id, tf.doc_id, tf.chunk_no,
+         round(sum(ln({X.dbl(1.0)} + (st.n - df.df + {X.dbl(0.5)}) / (df.df + {X.dbl(0.5)})) * tf.tf * {X.dbl(_K1 + 1)}
+                   / (tf.tf + {X.dbl(_K1)} * ({X.dbl(1 - _B)} + {X.dbl(_B)} * tf.dl / st.avgdl))), {Q.SCORE_DIGITS}) AS score
+  FROM qt JOIN df ON df.term = qt.term AND df.store_id = qt.store_id JOIN tf ON tf.term = qt.term AND tf.store_id = qt.store_id
+  JOIN st ON st.store_id = qt.store_id GROUP BY qt.prompt_id, tf.doc_id, tf.chunk_no),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, doc_id, chunk_no) AS rank FROM sc) WHERE rank <= 3),
+ctx AS (SELECT top.prompt_id, string_agg(c.text, {NL} || {NL} ORDER BY top.rank) AS context
+        FROM top JOIN chunks c ON c.doc_id = top.doc_id AND c.chunk_no = top.chunk_no GROUP BY top.prompt_id)
+SELECT a.*, ctx.context FROM answers a LEFT JOIN ctx ON ctx.prompt_id = a.prompt_id"""
+
 MARKDOWN_TEXT = f"""WITH t AS (SELECT page_id, html, regexp_replace({X.visible_text("regexp_replace(html, '(?is)<title>.*?</title>', '', 'g')")}, '&amp$', '') AS text FROM pages),
 l AS (SELECT page_id, regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS letters,
              list_transform({X.href_values('html')}, lambda v: {X.unquote_decode('v')}) AS hrefs FROM t)
 SELECT page_id, md5(letters) AS letters, length(letters) AS n_letters, array_to_string(hrefs, ' ') AS links FROM l"""
 
 ORACLE: dict[str, str] = {
+    "answer_prompts": ANSWER_PROMPTS,
     "markdown_text": MARKDOWN_TEXT,
     "file_outcomes": FILE_OUTCOMES,
     "store_documents": STORE_DOCUMENTS,

@@ -275,6 +275,12 @@ def assemble_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.assemble_context(D.prompts(spark, sf_dir), D.stores(spark, sf_dir))
 
 
+def answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt -> latest store of its doc_type -> the best passages of that store."""
+    chunks = Q.chunk_documents(T.table(spark, sf_dir, "documents", "doc_id", "text", balanced=True))
+    return Q.answer_prompts(D.prompts(spark, sf_dir), D.stores(spark, sf_dir), D.store_documents(spark, sf_dir), chunks, k=3)
+
+
 def stream_page_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.streaming.ingest import page_features_stream_run
     return page_features_stream_run(spark, sf_dir)
@@ -322,5 +328,6 @@ QUERIES: dict[str, Query] = {
     "retrieve_lexical": retrieve_lexical,
     "retrieve_vector": retrieve_vector,
     "assemble_context": assemble_context,
+    "answer_prompts": answer_prompts,
     "stream_page_features": stream_page_features,
 }
