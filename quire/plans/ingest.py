@@ -60,7 +60,7 @@ def crawl_to_bundles(pages: DataFrame, registry: DataFrame, requests: DataFrame,
         .select("doc_type", "depth", "url", "page_id", "html"), out_col="text")
     from_render = hits.where(F.col("content_kind") == "markdown").select(
         "doc_type", "depth", "url", "page_id", F.col("markdown").alias("text"))
-    texts = as_md.unionByName(from_render)
+    texts = sized(as_md.unionByName(from_render), "texts")  # converted once, for the bundles and the summary
     blocks = B.bundle_blocks(texts.select("doc_type", F.struct("depth", "url").alias("ord"), "url", "text"),
                              crawled_at)
     if out_path:

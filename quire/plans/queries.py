@@ -222,12 +222,15 @@ def bundle_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crawl_to_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resolve -> doc_type -> crawl (site scope, depth 3) -> render
-    fallback -> markdown -> bundle blocks; per-doc_type summary."""
+    fallback -> markdown -> bundles, written and read back; per-doc_type summary."""
     from quire.plans.ingest import crawl_to_bundles as run
+    from quire.session import scratch_path
 
     out = run(T.pages(spark, sf_dir), D.page_registry(spark, sf_dir), D.host_requests(spark, sf_dir),
-              D.CRAWLED_AT, max_depth=3, scope="site", renders=D.renders(spark, sf_dir))
-    return out["summary"]
+              D.CRAWLED_AT, max_depth=3, scope="site", renders=D.renders(spark, sf_dir),
+              out_path=(path := scratch_path(spark, "bundles")))
+    written = B.pages_per_doc_type(B.read_bundles(spark, path, partitioned=True)).select("doc_type", F.col("page_count").alias("bundle_pages"))
+    return out["summary"].join(written, "doc_type", "left").withColumn("bundle_pages", F.coalesce("bundle_pages", F.lit(0)).cast("bigint"))
 
 
 def bundle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
