@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, mixing, ngram_join, perplexity, personal_data
-from quire.llm.common import materialize, read_table
+from quire.llm.common import materialize, read_table, short_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: near duplicates: five-word shingles, similarity of 0.8 or more
@@ -25,12 +25,14 @@ SHINGLE, SIMILARITY = 5, (80, 100)
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the perplexity bands reject go."""
+    short_batches(spark)
     judged = perplexity.score_quality(docs, [c for c in COLUMNS if c != "doc_id"])
     return judged.where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents that with the least id stays."""
+    short_batches(spark)
     classes = ngram_join.jaccard_classes(docs, SHINGLE, *SIMILARITY)
     lost = materialize(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")), "lost")
     return docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti").select(*COLUMNS)

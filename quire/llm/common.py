@@ -11,8 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.session import scratch_path
 
 
+#: rows that go to a Python task at a time; texts and packed hashes are long
+BATCH_ROWS = 512
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bound what a task holds of long rows, on both sides of the Arrow stream."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """One whole table, projected to ``cols``; any path that Spark can read."""
+    short_batches(spark)
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*cols) if cols else df
 
@@ -31,7 +41,7 @@ def fill_nulls(arr: pa.Array, value) -> pa.Array:
     return arr.fill_null(value) if arr.null_count else arr
 
 
-def text_blocks(batch: pa.RecordBatch, col: str, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(batch: pa.RecordBatch, col: str, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of whole rows with about ``limit`` text bytes.
 
     Yields (first row, end row, bytes, offsets); null texts are empty.  A

@@ -34,7 +34,7 @@ from . import tokens as T
 from .common import read_table, text_blocks
 
 WINDOW = 13
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: benchmark words whose phrases are sent to the tasks at a time (about 150 MB)
 PHRASE_WORDS = 1_000_000
 #: distance of sampled suffix positions

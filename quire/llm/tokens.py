@@ -48,7 +48,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get("p")
     if have is not None and len(have) > n:
         return have, _POWERS["i"]
-    size = max(n + 1, 1 << 21)
+    size = max(n + 1, (1 << 19) + (1 << 16))
     inv = pow(_BASE, -1, 1 << 64)
 
     def table(base: int) -> np.ndarray:
