@@ -19,6 +19,7 @@ QUERIES = {
 
 #: DuckDB SQL, where SQL can express a query on whole tables
 ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard": ngram_join.ORACLE,
     "op2_warc_revisits": warc.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
