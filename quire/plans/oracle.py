@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from quire.functions import html as H
 from quire.operators import files as V
-from quire.operators import resolve as J
 from quire.operators import retrieve as Q
 from quire.plans import derive as D
 from quire.plans import sqlx as X
