@@ -306,7 +306,7 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_by
         out = found[0]
     else:
         key = ["doc_id", "digest", "n_words"]
-        out = (found[0].withColumn("copies", F.lit(1)) if parts else found[0])
+        out = found[0].withColumn("copies", F.lit(1))  # equal rows are merged with the spans, and repeated afterwards
         for f in found[1:]:
             out = out.unionByName(f.withColumn("copies", F.lit(0)))
         out = (out.groupBy(*key).agg(F.sum("copies").alias("copies"),

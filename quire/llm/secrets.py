@@ -20,7 +20,6 @@ are.  Spans of different kinds may overlap.  Extra columns are ignored.
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -173,7 +172,3 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = "cast(size(filter(base, s -> s.kind = '{0}')) as long) as n_{0}"
     return scan(read_table(spark, sf_dir, "documents", "doc_id", "text")).selectExpr(
         "doc_id", *[count.format(k) for k in KINDS], f"sha2({joined.format('base')}, 256) as base_sha256", f"{joined.format('spans')} as spans")
-
-
-def digest_of(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
