@@ -10,8 +10,11 @@ The text lengths are summed over windows of ``WINDOW`` lines.  The sums surge
 where text begins and dive to zero in a gap; the lines between a surge and the
 next dive form a segment.  A segment is kept when its largest sum exceeds
 ``THRESHOLD``, or ``SHARE`` of the page's largest sum where that is less.
-Where a page has article or main elements only their lines have text; a gap
-inside an article doesn't end it, so an article is kept whole.
+This holds for every page.  Article and main elements are hints to the sums: a
+line inside counts ``ARTICLE_WEIGHT`` times, their edges are gaps, and a gap
+inside doesn't end them, so an article is one segment, kept or left out whole.
+An article is not skipped for a word of its own class, except when it is a
+comment inside another article.
 
 Parsing is one forward scan (no backtracking; a missing end of a comment,
 quote or script is looked for once).  Nulls: null html is empty and gives the
@@ -36,6 +39,8 @@ THRESHOLD = 86
 SHARE = 0.3
 #: a line is a menu if links make up more than this share of it
 LINK_SHARE = 0.6
+#: how often a character inside an article or main element counts
+ARTICLE_WEIGHT = 2
 
 # Elements by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,6 +56,8 @@ SKIP_WORDS = frozenset(
     "notice notices alert newsletter subscribe signup paywall sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header "
     "masthead topbar toolbar comment comments disqus respond reply replies share sharing social related recommended popup modal overlay "
     "pagination pager widget login search".split())
+#: blocks that follow an article and may hold articles of their own
+FOLLOWING = frozenset("comment comments disqus respond reply replies related recommended".split())
 NAME = re.compile(r"[A-Za-z][A-Za-z0-9:_-]*")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*))?""", re.I)
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -67,11 +74,18 @@ def is_boilerplate(name: str, attributes: str) -> bool:
             return True
         if key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if key in ("class", "id") and name not in ("p", "h1", "main") and any(w.lower() in SKIP_WORDS for w in WORD.findall(value)):
+        if key in ("class", "id") and name not in ("p", "h1", "main", "article") and any(w.lower() in SKIP_WORDS for w in WORD.findall(value)):
             return True
     return False
 
 
+def names_of(attributes: str) -> Iterator[str]:
+    """The values of class and id, lower-cased."""
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            yield from (m[2] or "").strip("\"'").lower().split()
+
+
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """("text", data, ""), ("open", name, attributes) and ("close", name, "")."""
     at, n = 0, len(page)
@@ -139,13 +153,16 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 class _Page:
-    """Collects lines as (text length, text, in article); blank lines are gaps."""
+    """Collects lines as (text, in article or main); blank lines are gaps."""
 
     def __init__(self):
         self.lines: list[tuple[str, bool]] = []
         self.open: list[str] = []  # open elements
         self.skip_at = 0  # number of open elements up to the one that is skipped; 0: none
-        self.articles = 0
+        self.skip_follows = False  # the skipped element holds comments or the like
+        self.articles = 0  # open article and main elements
+        self.posts = 0  # open article elements
+        self.seen = False  # an article or main element had text
         self.links = 0
         self.parts: list[str] = []
         self.link_chars = 0
@@ -160,10 +177,12 @@ class _Page:
                     self.gap()
                 else:
                     self.lines.append((line, inside))
+                    self.seen |= inside
         self.link_chars = 0
 
     def gap(self) -> None:
-        self.lines.extend([("", self.articles > 0)] * WINDOW)
+        if not self.articles:
+            self.lines.extend([("", False)] * WINDOW)
 
     def start(self, name: str, attributes: str) -> None:
         if name == "br":
@@ -181,16 +200,21 @@ class _Page:
             self.open.append(name)
             return
         skip = name in RAW or name in SKIP or name == "header" and not self.articles or is_boilerplate(name, attributes)
+        skip = skip or name == "article" and self.posts > 0 and any(x in FOLLOWING for x in names_of(attributes))
         if name in ("article", "main") and not skip:
-            if self.skip_at and self.open[self.skip_at - 1] not in ("aside", "footer"):
+            if (self.skip_at and self.open[self.skip_at - 1] not in ("aside", "footer") and not self.posts
+                    and not (self.skip_follows and self.seen)):
                 while len(self.open) >= self.skip_at:  # an unclosed notice or menu ends where the article begins
                     self.open.pop()
                 self.skip_at = 0
             if not self.skip_at:
+                self.gap()
                 self.articles += 1
+                self.posts += name == "article"
         self.open.append(name)
         if skip and not self.skip_at:
             self.skip_at = len(self.open)
+            self.skip_follows = any(w.lower() in FOLLOWING for x in names_of(attributes) for w in WORD.findall(x))
             if name not in RAW:
                 self.flush()
                 self.gap()
@@ -211,6 +235,8 @@ class _Page:
             elif not self.skip_at and last in ("article", "main"):
                 self.flush()
                 self.articles = max(0, self.articles - 1)
+                self.posts = max(0, self.posts - (last == "article"))
+                self.gap()
             if last == name:
                 return
 
@@ -251,9 +277,7 @@ def segments(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, i
 def main_text(page: str | None) -> str:
     """The kept blocks, joined by one line feed."""
     lines = page_lines(page or "")
-    if any(inside and line for line, inside in lines):
-        return "\n".join(line for line, inside in lines if inside and line)
-    found = segments([len(line) for line, _ in lines])
+    found = segments([len(line) * (ARTICLE_WEIGHT if inside else 1) for line, inside in lines])
     least = min(THRESHOLD, SHARE * max((s[2] for s in found), default=0))
     return "\n".join(line for a, b, top in found if top > least for line, _ in lines[a:b] if line)
 

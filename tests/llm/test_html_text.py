@@ -53,6 +53,36 @@ def test_distribution_without_article():
     assert H.segments([0, 5, 0, 0, 0, 9, 9, 0], 2) == [(0, 2, 5), (4, 7, 18)]
 
 
+def test_whole_table_without_article_tags(spark):
+    for r in spark.read.parquet(f"{SF_MID}/pages.parquet").select("html").collect():
+        for name in ("div", "section"):
+            page = r.html.replace("<article>", f"<{name}>").replace("</article>", f"</{name}>")
+            assert H.main_text(page) == article(r.html)
+
+
+def test_every_page_goes_through_the_sums(monkeypatch):
+    calls = []
+    whole = H.segments
+    monkeypatch.setattr(H, "segments", lambda *a: calls.append(a) or whole(*a))
+    H.main_text(f"<article><p>{LONG}</p></article>")
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<div><p>{LONG}</p><p>{LONG}</p></div><article><p>Read on</p></article>", f"{LONG}\n{LONG}"),  # a teaser
+    (f"<div><p>{LONG}</p></div><article><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+    (f"<article><p>{LONG}</p></article><div>Imprint</div>", LONG),
+    (f"<article class='hentry category-social'><p>{LONG}</p></article>", LONG),
+    (f"<main><article class='comments-open'><p>{LONG}</p><div class=ad>x</div><p>End.</p></article></main>", f"{LONG}\nEnd."),
+    (f"<div class=notice>cookies<article class='content no-sidebar'><p>{LONG}</p></article>", LONG),
+    (f"<article><p>{LONG}</p></article><div id=comments><article class=comment-body><p>{LONG}</p></article></div>", LONG),
+    (f"<article><p>{LONG}</p><article class=comment><p>{LONG}</p></article></article>", LONG),
+    (f"<div class='page comments-open'><article><p>{LONG}</p></article></div>", LONG),
+])
+def test_articles_are_hints(page, text):
+    assert H.main_text(page) == text
+
+
 def test_long_and_broken_pages_are_linear():
     n = 200_000
     start = time.time()
