@@ -1,12 +1,13 @@
 """Secret scans: patterns, and a token-efficiency test for random strings.
 
 The base kinds are patterns with a least length.  The method adds ``random``
-spans: a run of at least ``MIN_RUN`` key characters that mixes letters and
-digits and needs so many tokens of a public byte-pair vocabulary that it has
-fewer than ``MAX_RATIO`` characters a token.  Ordinary words and names get
-three and more.  Known digests (a hexadecimal string of a digest's length after
+spans: a run of at least ``MIN_RUN`` key characters that needs so many tokens
+of a public byte-pair vocabulary that it has fewer than ``MAX_RATIO`` characters
+a token.  Ordinary words and names get three and more.  A run that passes as a
+whole is measured again by its parts between separators: neighbouring parts that
+are no words together, and long parts in windows of ``MIN_RUN`` characters.  Known digests (a hexadecimal string of a digest's length after
 a word like ``sha256``) and identifiers (UUIDs, names joined from words) are
-excluded, and what a base span covers is not named again.
+excluded, and what a base span covers is cut out of a run.
 
 Only documents in which a byte scan finds a keyword, ``AKIA``, a long
 hexadecimal run or a long run of key characters are searched further; no other
@@ -48,6 +49,7 @@ DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 DIGEST_WORD = re.compile(r"(?i)(?:md5|sha-?(?:1|224|256|384|512)|digest|checksum|integrity|fingerprint|commit|etag)\W{0,3}$")
 
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
+PART = re.compile(r"[^+/_=-]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 WORD_PART = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{2,8}|[0-9]{1,4}")
 
@@ -78,18 +80,58 @@ def token_ratio(run: str, encoding) -> float:
     return len(run) / n
 
 
+def random_parts(text: str, start: int, end: int, encoding) -> list[tuple[int, int]]:
+    """Random strings in a piece of a run: the whole piece, or some of its parts."""
+    run = text[start:end]
+    if is_known_digest(text, start, run):
+        return []
+    if re.search("[A-Za-z]", run) and re.search("[0-9]", run) and not is_identifier(run) and token_ratio(run, encoding) < MAX_RATIO:
+        return [(start, end)]
+    out, joined = [], []
+    parts = [(start + p.start(), start + p.end()) for p in PART.finditer(run)]
+    for a, b in [*parts, (end, end)]:
+        part = text[a:b]
+        if part and not is_identifier(part) and not is_known_digest(text, a, part) and token_ratio(part, encoding) < MAX_RATIO:
+            joined.append((a, b))
+            continue
+        if joined:
+            lo, hi = joined[0][0], joined[-1][1]
+            joined, key = [], text[lo:hi]
+            if hi - lo >= MIN_RUN and re.search("[A-Za-z]", key) and re.search("[0-9]", key) and token_ratio(key, encoding) < MAX_RATIO:
+                out.append((lo, hi))
+    whole = set()
+    for lo, hi in out:
+        whole.update(a for a, _ in parts if lo <= a < hi)
+    for a, b in parts:
+        if b - a < MIN_RUN or a in whole or is_known_digest(text, a, text[a:b]):
+            continue
+        last = None
+        for at in [*range(a, b - MIN_RUN, MIN_RUN // 2), b - MIN_RUN]:
+            if token_ratio(text[at:at + MIN_RUN], encoding) < MAX_RATIO:
+                if last is not None and at <= last[1]:
+                    last = (last[0], at + MIN_RUN)
+                    out[-1] = last
+                else:
+                    last = (at, at + MIN_RUN)
+                    out.append(last)
+    return sorted(out)
+
+
 def random_spans(text: str, covered: list[tuple[str, int, int]], encoding) -> list[tuple[str, int, int]]:
-    out, at, reach = [], 0, -1
+    out, at = [], 0
     for m in RUN.finditer(text):
-        while at < len(covered) and covered[at][1] < m.end():
-            reach = max(reach, covered[at][2])
+        ids = [("uuid", u.start(), u.end()) for u in UUID.finditer(text, m.start(), m.end())]
+        while at < len(covered) and covered[at][2] <= m.start():
             at += 1
-        run = m[0]
-        if (reach > m.start() or not re.search("[A-Za-z]", run) or not re.search("[0-9]", run) or is_identifier(run)
-                or is_known_digest(text, m.start(), run)):
-            continue
-        if token_ratio(run, encoding) < MAX_RATIO:
-            out.append(("random", m.start(), m.end()))
+        k = at
+        while k < len(covered) and covered[k][1] < m.end():
+            ids.append(covered[k])
+            k += 1
+        lo = m.start()
+        for _, a, b in [*sorted(ids, key=lambda s: s[1]), ("end", m.end(), m.end())]:
+            if a - lo >= MIN_RUN:
+                out += [("random", x, y) for x, y in random_parts(text, lo, a, encoding)]
+            lo = max(lo, b)
     return out
 
 

@@ -66,6 +66,25 @@ def test_random_keys_are_found():
     assert found >= 190
 
 
+def test_keys_behind_words_letters_only_and_beside_base_spans():
+    enc, rnd = S.load_encoding(S.read_vocabulary(S.VOCABULARY)), random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mixed = letters + letters.upper() + "0123456789"
+    for before, chars, n in (("authentication/callback/session=", mixed, 24), ("projects/documentation/release/download/attachments/", mixed, 24),
+                             ("", letters + letters.upper(), 32), ("", letters, 32)):
+        found = 0
+        for _ in range(200):
+            key = "".join(rnd.choice(chars) for _ in range(n))
+            found += any(b - a >= S.MIN_RUN and b > len(before) + 2 for _, a, b in S.random_spans(f"x {before}{key} y", [], enc))
+        assert found >= 190, (before, n, found)
+    key = "".join(rnd.choice(mixed) for _ in range(40))
+    text = "0123456789abcdef" * 2 + "/" + key
+    spans = S.random_spans(text, [("hex", 0, 32)], enc)
+    assert spans and spans[-1][2] == len(text)
+    for words in ("internationalization", "Donaudampfschifffahrtsgesellschaft", "projects/documentation/release/download/attachments"):
+        assert S.random_spans(words, [], enc) == []
+
+
 def test_vocabulary_is_checked(tmp_path):
     big = tmp_path / "big"
     big.write_bytes(b"a" * (S.MAX_VOCABULARY_BYTES + 1))
