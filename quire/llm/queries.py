@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, licences, lm_scoring, mixing, ngram_join, perplexity, personal_data, secrets, warc
+from . import byte_bpe, decontaminate, html_text, licences, lm_scoring, mixing, ngram_join, perplexity, personal_data, secrets, warc
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_lm_scores": lm_scoring.op8_lm_scores,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_byte_bpe": byte_bpe.op11_byte_bpe,
 }
 
 #: DuckDB SQL, where SQL can express a query on whole tables
