@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, html_text, licences, lm_scoring, mixing, ngram_join, perplexity, personal_data, secrets, warc
+from . import byte_bpe, centroids, decontaminate, hard_negatives, html_text, licences, lm_scoring, mixing, ngram_join, perplexity, personal_data, secrets, warc
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_mix_sources": mixing.op10_mix_sources,
     "op11_byte_bpe": byte_bpe.op11_byte_bpe,
+    "op12_centroid_clusters": centroids.op12_centroid_clusters,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 #: DuckDB SQL, where SQL can express a query on whole tables
@@ -24,4 +26,6 @@ ORACLE: dict[str, str] = {
     "op2_warc_revisits": warc.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
+    "op12_centroid_clusters": centroids.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
