@@ -280,8 +280,8 @@ def assemble_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt -> latest store of its doc_type -> the best passages of that store."""
-    chunks = Q.chunk_documents(T.table(spark, sf_dir, "documents", "doc_id", "text", balanced=True))
-    return Q.answer_prompts(D.prompts(spark, sf_dir), D.stores(spark, sf_dir), D.store_documents(spark, sf_dir), chunks, k=3)
+    documents = T.table(spark, sf_dir, "documents", "doc_id", "text", balanced=True)
+    return Q.answer_prompts(D.prompts(spark, sf_dir), D.stores(spark, sf_dir), D.store_documents(spark, sf_dir), documents, k=3)
 
 
 def stream_page_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,3 +33,32 @@ def rows(df, *cols):
     """Collect as sorted tuples (of ``cols`` or all columns)."""
     sel = df.select(*cols) if cols else df
     return sorted(tuple(r) for r in sel.collect())
+
+
+def formatted(df) -> str:
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def exchange_children(spark, df):
+    """The scans whose rows an exchange moves (no other exchange or join between), as text."""
+    out = []
+
+    def scans(node):
+        name = node.nodeName()
+        if "Exchange" in name or "Join" in name:
+            return []
+        own = [node.simpleString(1000)] if "Scan" in name else []
+        kids = node.children()
+        return own + [s for i in range(kids.size()) for s in scans(kids.apply(i))]
+
+    def walk(node):
+        if hasattr(node, "executedPlan") and "AdaptiveSparkPlan" in node.nodeName():
+            return walk(node.initialPlan())
+        kids = node.children()
+        for i in range(kids.size()):
+            if "Exchange" in node.nodeName():
+                out.extend(scans(kids.apply(i)))
+            walk(kids.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return out

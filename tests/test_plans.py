@@ -5,17 +5,13 @@ import __spark_entry__ as E
 from quire.operators import stores as S
 from quire.plans import derive as D
 
-from .conftest import SF_SMALL
+from .conftest import SF_SMALL, formatted
 
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString() + "\n" + df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def formatted(df) -> str:
-    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
-
-
 def exchange_inputs(df, keyed_only: bool = True) -> list[str]:
     """Column lists of the Exchanges in the formatted plan.  ``keyed_only``
     skips round-robin exchanges: those only deal an under-split scan out
@@ -62,11 +58,6 @@ def test_latest_store_is_partial_aggregate_not_window(spark):
     assert "Window" not in txt
 
 
-def test_topk_has_group_limit_before_shuffle(spark):
-    txt = formatted(E.queries()["retrieve_lexical"](spark, SF_SMALL))
-    assert txt.count("WindowGroupLimit") >= 2
-
-
 def test_render_lookup_is_broadcast(spark):
     txt = formatted(E.queries()["render_fallback"](spark, SF_SMALL))
     assert "BroadcastHashJoin" in txt
