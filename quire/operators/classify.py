@@ -9,15 +9,16 @@ holding a third of all pages costs one partial row per task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import html as H
 from quire.functions import urls as U
 
 
-def page_features(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Per page: host, lengths, text ratio, detected frameworks, dynamic flag.
+def page_features(pages: DataFrame, html_col: str = "html", **extra: Column) -> DataFrame:
+    """Per page: host, lengths, text ratio, detected frameworks, dynamic flag,
+    and what ``extra`` names, from the same pass over the page.
 
     Input: ``page_id, url, html``.  ``frameworks`` is the ordered list joined
     by ','; ``is_dynamic`` = frameworks found AND ratio < 0.1 (strict).
@@ -30,6 +31,7 @@ def page_features(pages: DataFrame, html_col: str = "html") -> DataFrame:
         F.length(h).cast("bigint").alias("html_len"),
         F.length(vt).cast("bigint").alias("text_len"),
         H.framework_list(h).alias("frameworks"),
+        *(column.alias(name) for name, column in extra.items()),
     )
     ratio = F.when(F.col("html_len") == 0, F.lit(0.0)).otherwise(F.col("text_len") / F.col("html_len"))
     return feats.select(
@@ -40,6 +42,7 @@ def page_features(pages: DataFrame, html_col: str = "html") -> DataFrame:
         ratio.alias("text_ratio"),
         "frameworks",
         ((F.col("frameworks") != "") & (ratio < F.lit(H.TEXT_RATIO_THRESHOLD))).alias("is_dynamic"),
+        *extra,
     )
 
 

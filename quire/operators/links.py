@@ -22,11 +22,14 @@ from quire.functions import urls as U
 
 
 def extract_links(pages: DataFrame, scope: str = "page", src_col: str = "url", html_col: str = "html") -> DataFrame:
+    return resolve_links(pages.select(F.col(src_col).alias("src"), F.explode(H.href_values(F.col(html_col))).alias("href")), scope)
+
+
+def resolve_links(hrefs: DataFrame, scope: str = "page") -> DataFrame:
+    """(src, href) as found in the pages -> distinct (src, dst) in scope."""
     if scope not in ("page", "site"):
         raise ValueError("scope must be 'page' or 'site'")
-    hrefs = pages.select(
-        F.col(src_col).alias("src"), F.explode(H.href_values(F.col(html_col))).alias("href")
-    ).select("src", U.defrag("href").alias("href"))
+    hrefs = hrefs.select("src", U.defrag("href").alias("href"))
     joined = U.with_url_join(hrefs.where(F.col("href") != ""), "src", "href", "dst", parts=True)
     cond = F.col("dst_netloc") == F.col("src_netloc")
     if scope == "page":

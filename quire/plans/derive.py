@@ -47,6 +47,18 @@ def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(marker, F.col("html"), F.lit("<script>"), pad, F.lit("</script>")).alias("html"))
 
 
+#: a page that comes again has its own id plus this
+AGAIN = 1_000_000_000_000
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Pages as they arrive at two runs of the re-crawl: those with an even id,
+    then the others and, once more, every third page of the table."""
+    p = T.pages(spark, sf_dir)
+    again = p.where("page_id % 3 = 0").withColumn("page_id", F.col("page_id") + AGAIN)
+    return [p.where("page_id % 2 = 0"), p.where("page_id % 2 <> 0").unionByName(again)]
+
+
 def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with four more links: below the page, beside it, to its host's
     root and to another host."""
@@ -87,7 +99,7 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey") % 20
     created = (F.when(k == 0, F.lit(None).cast("string"))
                .when(k == 1, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-               .when(k == 2, F.lit("invalid-date-format"))
+               .when(k == 2, F.lit("7th of May"))
                .otherwise(F.date_format("o_orderdate", D.REGISTRY_TIME_FORMAT)))
     return o.select(F.col("o_orderpriority").alias("doc_type"), F.col("o_orderkey").alias("pos"),
                     F.concat(F.lit("stores/"), F.col("o_orderkey")).alias("rag_id"), created.alias("created_at"),
@@ -129,7 +141,7 @@ def load_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = T.table(spark, sf_dir, "labels", "doc_id", "quality").where(F.col("quality") == 0)
     req = file_requests(spark, sf_dir)
     return req.join(low.select(F.col("doc_id").alias("pos")), "pos").select(
-        "batch_id", "file_path", F.lit("upload failed").alias("error")).distinct()
+        "batch_id", "file_path", F.lit("no room left in the store").alias("error")).distinct()
 
 
 def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:

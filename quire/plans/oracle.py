@@ -69,13 +69,13 @@ LINKED = f"""(SELECT url, '<a href="' || {X.scope_path('url')} || '/part?p=1#x">
     || {X.scope_path('url')} || '/part">o</a>' || html AS html FROM pages)"""
 
 
-def _links_sql(scope: str) -> str:
+def _links_sql(scope: str, pages: str = "pages") -> str:
     steps = X.url_join_ctes("hrefs", "src", "href", "dst")
     ctes = ",\n".join(f"{n} AS ({s})" for n, s in steps)
     cond = f"{X.url_netloc('dst')} = {X.url_netloc('src')}"
     if scope == "page":
         cond += f" AND starts_with({X.scope_path('dst')}, {X.scope_path('src')})"
-    return f"""WITH raw AS (SELECT url AS src, unnest({X.href_values('html')}) AS v FROM {LINKED if scope == "page" else "pages"}),
+    return f"""WITH raw AS (SELECT url AS src, unnest({X.href_values('html')}) AS v FROM {LINKED if scope == "page" else pages}),
 dec AS (SELECT src, {X.defrag(X.unquote_decode('v'))} AS href FROM raw),
 hrefs AS (SELECT src, href FROM dec WHERE href <> ''),
 {ctes}
@@ -83,6 +83,16 @@ SELECT DISTINCT src, dst FROM uj7 WHERE {cond}"""
 
 
 PAGE_LINKS = _links_sql("site")
+
+STREAM_RECRAWL = f"""WITH arrived AS (
+  SELECT CASE WHEN page_id % 2 = 0 THEN 1 ELSE 2 END AS run, * FROM pages
+  UNION ALL SELECT 2, page_id + {D.AGAIN}, url, html FROM pages WHERE page_id % 3 = 0),
+firsts AS (SELECT page_id, url, html FROM arrived WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY run, page_id) = 1),
+{_features_sql('firsts')},
+links AS ({_links_sql('site', 'firsts')}),
+n AS (SELECT src, count(*) AS n_links FROM links GROUP BY src)
+SELECT feat.page_id, f.url, host, text_len, frameworks, is_dynamic, coalesce(n_links, 0) AS n_links
+FROM feat JOIN firsts f USING (page_id) LEFT JOIN n ON n.src = f.url"""
 PAGE_LINKS_SCOPED = _links_sql("page")
 
 HOSTS = f"""
@@ -144,7 +154,7 @@ stores AS (
   SELECT o_orderpriority AS doc_type, o_orderkey AS pos, 'stores/' || o_orderkey AS rag_id,
          CASE WHEN o_orderkey % 20 = 0 THEN NULL
               WHEN o_orderkey % 20 = 1 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ')
-              WHEN o_orderkey % 20 = 2 THEN 'invalid-date-format'
+              WHEN o_orderkey % 20 = 2 THEN '7th of May'
               ELSE strftime(o_orderdate, '%Y/%m/%d %H:%M:%S') END AS created_at,
          'customer ' || o_custkey AS description, o_orderstatus
   FROM orders)"""
@@ -236,7 +246,7 @@ agg AS (
   FROM v2 GROUP BY batch_id),
 errs AS (
   SELECT batch_id, string_agg(error, {NL} ORDER BY pos) FILTER (WHERE NOT valid) AS invalid_errors,
-         string_agg(file_path || ': upload failed', {NL} ORDER BY pos) FILTER (WHERE valid AND load_failed) AS load_errors
+         string_agg(file_path || ': no room left in the store', {NL} ORDER BY pos) FILTER (WHERE valid AND load_failed) AS load_errors
   FROM v2 GROUP BY batch_id)
 SELECT batch_id, CASE WHEN n_loaded > 0 THEN {_STORE_ID.format(b='batch_id')} END AS store_id,
        first_stem AS doc_type, n_files, n_valid, n_invalid, n_loaded, n_load_failed, loaded_bytes,
@@ -249,7 +259,7 @@ FROM agg LEFT JOIN errs USING (batch_id)"""
 FILE_OUTCOMES = f"""WITH {FILES}
 SELECT v.batch_id, v.pos, v.file_path,
        CASE WHEN NOT v.valid THEN 'invalid' WHEN le.file_path IS NOT NULL THEN 'failed' ELSE 'uploaded' END AS outcome,
-       CASE WHEN NOT v.valid THEN v.error WHEN le.file_path IS NOT NULL THEN 'upload failed' END AS error
+       CASE WHEN NOT v.valid THEN v.error WHEN le.file_path IS NOT NULL THEN 'no room left in the store' END AS error
 FROM validated v LEFT JOIN le ON le.batch_id = v.batch_id AND le.file_path = v.file_path"""
 
 STORE_DOCUMENTS = f"""SELECT {_STORE_ID.format(b='batch_id')} AS store_id, batch_id, pos, file_path
@@ -528,4 +538,5 @@ ORACLE: dict[str, str] = {
     "retrieve_vector": RETRIEVE_VECTOR,
     "assemble_context": ASSEMBLE_CONTEXT,
     "stream_page_features": STREAM_PAGE_FEATURES,
+    "stream_recrawl": STREAM_RECRAWL,
 }

@@ -289,6 +289,24 @@ def stream_page_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_features_stream_run(spark, sf_dir)
 
 
+def stream_recrawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of the re-crawl stream: features and link counts of each url's first page."""
+    import os
+
+    from quire.session import scratch_path
+    from quire.streaming import recrawl as RC
+
+    base = scratch_path(spark, "recrawl")
+    source, out = os.path.join(base, "arrived"), os.path.join(base, "out")
+    for run, pages in enumerate(D.arrivals(spark, sf_dir)):
+        pages.write.parquet(os.path.join(source, f"run-{run}"))
+        RC.run_recrawl(spark, source, out, D.CRAWLED_AT)
+    features, links = RC.read_sinks(spark, out)
+    n_links = links.groupBy(F.col("src").alias("url")).agg(F.count(F.lit(1)).alias("n_links"))
+    return features.join(n_links, "url", "left").select("page_id", "url", "host", "text_len", "frameworks", "is_dynamic",
+                                                        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
 QUERIES: dict[str, Query] = {
     "site_render_needs": site_render_needs,
     "page_features": page_features,
@@ -333,4 +351,5 @@ QUERIES: dict[str, Query] = {
     "assemble_context": assemble_context,
     "answer_prompts": answer_prompts,
     "stream_page_features": stream_page_features,
+    "stream_recrawl": stream_recrawl,
 }
