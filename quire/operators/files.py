@@ -14,7 +14,7 @@ The store id is derived from the batch id, so a retried batch is idempotent.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import urls as U
@@ -66,9 +66,10 @@ def validate(requests: DataFrame, listing: DataFrame, utf8_ok: DataFrame | None
                      size.alias("size"), extension.alias("extension"))
 
 
-def utf8_check(contents: DataFrame) -> DataFrame:
-    """contents(path, content BINARY) -> (path, utf8_ok) over the whole bytes."""
-    return contents.select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8_ok"))
+def utf8_check(contents: DataFrame, *extra: Column) -> DataFrame:
+    """contents(path, content BINARY) -> (path, utf8_ok) over the whole bytes, and
+    what else is wanted of them."""
+    return contents.select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8_ok"), *extra)
 
 
 def store_id_of(batch_id: F.Column) -> F.Column:

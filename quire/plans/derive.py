@@ -21,6 +21,7 @@ from quire.sources import tables as T
 NOW = "2001/09/01 00:00:00"            # retention clock (orders end 2001-08)
 CRAWLED_AT = "2024/02/01 09:00:00"     # bundle front matter
 MAX_AGE_DAYS = 90
+LOAD_TIMES = ["2024/02/01 09:00:00", "2024/02/02 10:30:00", "2024/02/03 08:15:00"]  # of three loads
 FRAMEWORK_MARKERS = [                  # by page_id % 7; 5 and 6 get none
     '<div class="shell" id="root">',
     '<section v-cloak>',
@@ -125,6 +126,19 @@ def file_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("file_path"))
 
 
+def document_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a text file for each document, below ``doc_type=<source>``;
+    every ninth document ends in bytes that are no UTF-8."""
+    from quire.session import scratch_path
+
+    path = scratch_path(spark, "corpus")
+    broken = F.when(F.col("doc_id") % 9 == 0, F.expr("cast(unhex('C328') as string)")).otherwise(F.lit(""))
+    (T.table(spark, sf_dir, "documents", "doc_id", "source", "text", balanced=True)
+     .select(F.coalesce("source", F.lit("none")).alias("doc_type"), F.concat(F.coalesce("text", F.lit("")), broken).alias("value"))
+     .write.option("maxRecordsPerFile", 1).partitionBy("doc_type").text(path))
+    return path
+
+
 def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files present on disk: every document except the ones labelled toxic
     (deleted), size = n_chars * BYTES_PER_CHAR; utf8_ok = no U+FFFD."""

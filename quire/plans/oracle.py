@@ -294,6 +294,29 @@ SELECT batch_id, doc_type,
        doc_type || ' API Documentation' AS description
 FROM agg"""
 
+_FILE_STORE = "'stores/' || substr(sha256(batch_id || '|' || file_path), 1, 16)"
+
+COMMITTED_LOADS = f"""WITH whole AS ({LOAD_STORE}), partial AS ({LOAD_OUTCOME}), checked AS ({FILE_VALIDATION}),
+files AS (SELECT source AS batch_id, '/corpus/' || source || '/doc' || doc_id || {_EXT_CASE} AS file_path FROM documents),
+stores AS (
+  SELECT doc_type, {_STORE_ID.format(b="'whole|' || batch_id")} AS rag_id, 1 AS n, 'whole' AS load FROM whole WHERE success
+  UNION ALL SELECT {X.file_stem('file_path')}, {_FILE_STORE}, 2, 'single' FROM checked WHERE valid
+  UNION ALL SELECT doc_type, store_id, 3, 'partial' FROM partial WHERE success),
+docs AS (
+  SELECT {_STORE_ID.format(b="'whole|' || batch_id")} AS store_id, f.file_path FROM whole w JOIN files f USING (batch_id) WHERE w.success
+  UNION ALL SELECT {_FILE_STORE}, file_path FROM checked WHERE valid
+  UNION ALL SELECT store_id, file_path FROM ({STORE_DOCUMENTS})),
+newest AS (SELECT * FROM stores WHERE doc_type <> '' QUALIFY row_number() OVER (PARTITION BY doc_type ORDER BY n DESC, rag_id) = 1)
+SELECT doc_type, rag_id, {_case_list(D.LOAD_TIMES, 'n - 1')} AS created_at, load, file_path FROM newest JOIN docs ON docs.store_id = rag_id"""
+
+_BODIES = """(SELECT coalesce(source, 'none') AS doc_type, encode(coalesce(text, '')) || CASE WHEN doc_id % 9 = 0 THEN '\\xC3\\x28'::BLOB ELSE ''::BLOB END
+  || '\\x0A'::BLOB AS body, doc_id % 9 <> 0 AS utf8_ok FROM documents)"""
+
+CORPUS_FILES = f"SELECT doc_type, CAST(octet_length(body) AS BIGINT) AS size, utf8_ok, sha256(body) AS sha256 FROM {_BODIES}"
+
+UPLOAD_INPUTS = """SELECT coalesce(source, 'none') AS doc_type, count(*) AS n_files, count(*) AS n_pos, CAST(NULL AS VARCHAR) AS error FROM documents GROUP BY 1
+UNION ALL SELECT 'missing', 0, 0, 'No crawled files found for doc_type ''missing''. Crawl first.'"""
+
 STORE_STATS = f"""WITH {FILES},
 docs AS (SELECT {_STORE_ID.format(b='v.batch_id')} AS store_id,
                 CASE WHEN le.file_path IS NULL THEN 'active' ELSE 'failed' END AS state, v.size
@@ -523,6 +546,9 @@ ORACLE: dict[str, str] = {
     "file_validation": FILE_VALIDATION,
     "load_outcome": LOAD_OUTCOME,
     "load_store": LOAD_STORE,
+    "committed_loads": COMMITTED_LOADS,
+    "corpus_files": CORPUS_FILES,
+    "upload_inputs": UPLOAD_INPUTS,
     "store_stats": STORE_STATS,
     "fetch_outcomes": FETCH_OUTCOMES,
     "fetch_run_stats": FETCH_RUN_STATS,

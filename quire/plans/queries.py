@@ -24,6 +24,7 @@ from quire.operators import resolve as J
 from quire.operators import retrieve as Q
 from quire.operators import stores as S
 from quire.plans import derive as D
+from quire.sources import files as FS
 from quire.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,6 +169,51 @@ def load_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.load_store(req, D.file_listing(spark, sf_dir).select("path"))
 
 
+def committed_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK5, SNK6, SNK7 as committed loads, the last one tried twice; then the
+    newest store of each doc_type and its documents."""
+    from quire.operators import loads as C
+    from quire.operators.common import sized
+    from quire.session import scratch_path
+
+    base = scratch_path(spark, "store-loads")
+    requests = D.file_requests(spark, sf_dir).withColumns({"doc_type": F.col("batch_id"), "batch_id": F.concat(F.lit("whole|"), "batch_id")})
+    whole = sized(V.load_store(requests, D.file_listing(spark, sf_dir).select("path")).where("success"), "whole")
+    members = requests.join(whole.select("batch_id", "store_id"), "batch_id").select("store_id", "batch_id", "pos", "file_path")
+    C.commit_load(base, "whole", whole, members, D.LOAD_TIMES[0])
+    validated = sized(file_validation(spark, sf_dir), "validated")
+    single = sized(V.load_file(validated).where("success"), "single")
+    C.commit_load(base, "single", single, single.withColumn("pos", F.lit(0)), D.LOAD_TIMES[1])
+    errors = D.load_errors(spark, sf_dir)
+    partial = V.load_outcome(validated, errors).where("success")
+    for _ in range(2):
+        C.commit_load(base, "partial", partial, V.store_documents(V.file_outcomes(validated, errors)), D.LOAD_TIMES[2])
+    newest = S.latest_store(C.read_registry(spark, base))
+    return (newest.join(C.read_documents(spark, base), F.col("rag_id") == F.col("store_id"))
+            .select("doc_type", "rag_id", "created_at", "load", "file_path"))
+
+
+def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC6, SRC9, P22 over files: a file per document in its source's folder,
+    listed without content, then read for its bytes."""
+    path = D.document_files(spark, sf_dir)
+    listing = FS.scan_corpus_files(spark, path)
+    bodies = FS.read_bodies(spark, path, V.MAX_FILE_BYTES, "*.txt", recursive=True)
+    probe = V.utf8_check(bodies, F.sha2("content", 256).alias("sha256"))
+    return listing.join(probe, "path").select(F.regexp_replace("doc_type", "^doc_type=", "").alias("doc_type"), "size", "utf8_ok", "sha256")
+
+
+def upload_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC7, SRC8, U1 over the same files: the inputs of a load of every source,
+    and of one more that has no files."""
+    path = D.document_files(spark, sf_dir)
+    names = T.table(spark, sf_dir, "documents", "source").select(F.concat(F.lit("doc_type="), F.coalesce("source", F.lit("none"))).alias("doc_type"))
+    inputs = FS.gather_upload_inputs(spark, path, names.unionByName(spark.createDataFrame([("doc_type=missing",)], "doc_type string")))
+    return inputs.groupBy(F.regexp_replace("doc_type", "^doc_type=", "").alias("doc_type")).agg(
+        F.count("file_path").alias("n_files"), F.count_distinct("pos").alias("n_pos"),
+        F.max(F.regexp_replace("error", "doc_type=", "")).alias("error"))
+
+
 def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = file_validation(spark, sf_dir).where("valid")
     le = D.load_errors(spark, sf_dir).select("file_path", F.lit(True).alias("_failed"))
@@ -332,6 +378,9 @@ QUERIES: dict[str, Query] = {
     "file_validation": file_validation,
     "load_outcome": load_outcome,
     "load_store": load_store,
+    "committed_loads": committed_loads,
+    "corpus_files": corpus_files,
+    "upload_inputs": upload_inputs,
     "store_stats": store_stats,
     "fetch_outcomes": fetch_outcomes,
     "fetch_run_stats": fetch_run_stats,

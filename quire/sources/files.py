@@ -10,6 +10,7 @@ become columns by accident.
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -38,22 +39,35 @@ def _scan(spark: SparkSession, path: str, glob: str | None, recursive: bool) ->
 
 
 def _norm_root(root: str) -> str:
-    return root.rstrip("/") if "://" in root else os.path.abspath(root).rstrip("/")
+    return root.rstrip("/") if re.match(r"\w+:/", root) else os.path.abspath(root).rstrip("/")
 
 
-def scan_corpus_files(spark: SparkSession, root: str) -> DataFrame:
-    """SRC6: every ``*.txt`` below ``root``: path, name, size, doc_type.
-    A file directly under root -> doc_type = its stem; deeper -> the name of
-    its immediate parent folder.  Missing root -> empty."""
+def _shown_root(root: str) -> str:
+    """The root as listed paths begin, see :func:`local_path`."""
+    return re.sub(r"^file:(//)?(?=/)", "", root)
+
+
+def corpus_listing(spark: SparkSession, root: str) -> DataFrame:
+    """Every ``*.txt`` below ``root`` in one listing: path, name, size, doc_type
+    (SRC6) and ``top``, the doc_type whose files it belongs to (SRC7): the first
+    folder below the root, or the stem of a file directly under it."""
     root = _norm_root(root)
     df = _scan(spark, root, "*.txt", recursive=True)
     if df is None:
-        return spark.createDataFrame([], LISTING_DDL)
-    rel = F.expr(f"substring(path, {len(root) + 2})")
-    parts = F.split(rel, "/")
-    doc_type = F.when(F.size(parts) == 1, U.file_stem(F.col("path"))).otherwise(F.element_at(parts, -2))
+        return spark.createDataFrame([], LISTING_DDL + ", top string")
+    rel = F.expr(f"substring(path, {len(_shown_root(root)) + 2})")
+    parts, stem = F.split(rel, "/"), U.file_stem(F.col("path"))
+    alone = F.size(parts) == 1
     return df.select("path", U.file_name(F.col("path")).alias("name"), F.col("length").alias("size"),
-                     doc_type.alias("doc_type"))
+                     F.when(alone, stem).otherwise(F.try_element_at(parts, F.lit(-2))).alias("doc_type"),
+                     F.when(alone, stem).otherwise(F.get(parts, 0)).alias("top"))
+
+
+def scan_corpus_files(spark: SparkSession, root: str) -> DataFrame:
+    """SRC6: every ``*.txt`` below ``root``: path, name, size, doc_type.
+    A file directly under root -> doc_type = its stem; deeper -> the name of
+    its immediate parent folder.  Missing root -> empty."""
+    return corpus_listing(spark, root).drop("top")
 
 
 def scan_corpus_files_of_type(spark: SparkSession, root: str, doc_type: str) -> DataFrame:
@@ -77,60 +91,75 @@ def scan_corpus_files_of_type(spark: SparkSession, root: str, doc_type: str) ->
                      F.lit(doc_type).alias("doc_type"))
 
 
-def gather_upload_inputs(spark: SparkSession, root: str, doc_type: str) -> DataFrame:
-    """SRC8: (doc_type, pos, file_path, error) for a store load; an empty
-    listing yields one error row ("crawl first")."""
-    files = scan_corpus_files_of_type(spark, root, doc_type)
-    req = spark.createDataFrame([(doc_type,)], "doc_type string")
-    ranked = files.select("doc_type", "path")
-    return req.join(ranked, "doc_type", "left").select(
-        "doc_type", F.col("path").alias("file_path"),
-        F.when(F.col("path").isNull(), F.lit(f"No crawled files found for doc_type '{doc_type}'. Crawl first."))
-        .alias("error"))
+def gather_upload_inputs(spark: SparkSession, root: str, doc_types: str | DataFrame) -> DataFrame:
+    """SRC8: (doc_type, pos, file_path, error) for a store load; a doc_type
+    without files yields one error row ("crawl first").  ``doc_types``: one, or
+    rows with a column ``doc_type``, which are joined to one listing.  ``pos``
+    rises with the path within a doc_type; it is not consecutive."""
+    if isinstance(doc_types, str):
+        requests = spark.createDataFrame([(doc_types,)], "doc_type string")
+        files = scan_corpus_files_of_type(spark, root, doc_types).select("doc_type", "path")
+    else:
+        requests = doc_types.select("doc_type").distinct()
+        files = corpus_listing(spark, root).select(F.col("top").alias("doc_type"), "path")
+    found = requests.join(files, "doc_type", "left").orderBy("doc_type", "path")
+    missing = F.concat(F.lit("No crawled files found for doc_type '"), F.col("doc_type"), F.lit("'. Crawl first."))
+    return found.select("doc_type", F.when(F.col("path").isNotNull(), F.monotonically_increasing_id()).alias("pos"),
+                        F.col("path").alias("file_path"), F.when(F.col("path").isNull(), missing).alias("error"))
+
+
+def read_bodies(spark: SparkSession, path: str, max_bytes: int, glob: str | None = None, recursive: bool = False) -> DataFrame | None:
+    """(path, content) of the files up to ``max_bytes``, a filter that the scan
+    itself applies; None where there is no such folder."""
+    r = spark.read.format("binaryFile")
+    if recursive:
+        r = r.option("recursiveFileLookup", "true")
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    try:
+        return r.load(path).where(F.col("length") <= F.lit(max_bytes)).select(local_path(F.col("path")).alias("path"), "content")
+    except AnalysisException:
+        return None
+
+
+def _one_glob(folders: list[str]) -> str:
+    """One pattern for all folders; those that are missing match nothing.  A
+    character that means something in a pattern stands as any character; what
+    matches besides is no requested file."""
+    def plain(folder: str) -> str:
+        return re.sub(r"[\\{}\[\]*,]", "?", folder)
+
+    # the root stands before the braces, or the pattern would be a relative path
+    root = os.path.commonprefix([f + "/" for f in folders])
+    root = root[:root.rindex("/") + 1]
+    return plain(root) + "{" + ",".join(plain((f + "/")[len(root):].rstrip("/")) for f in folders) + "}" if len(folders) > 1 else plain(folders[0])
 
 
 def scan_local_files(spark: SparkSession, requests: DataFrame, path_col: str = "file_path",
-                     max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """SRC9: listing ``(path, length)`` and UTF-8 probe ``(path, utf8_ok)`` for
-    the folders of the requested files.
-
-    Only the distinct parent folders are brought to the driver (to name the
-    scans); the files themselves are listed and read by Spark.  The probe
-    reads ``.txt``/``.md`` bodies only, with ``length <= max_bytes`` pushed
-    into the scan.  For requests spread over very many folders, scan their
-    common roots with :func:`scan_corpus_files`-style recursive listings
-    instead (the folder list is the only driver-side state here).
-    """
+                     max_bytes: int | None = None, root: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """SRC9: listing ``(path, length)`` and UTF-8 probe ``(path, utf8_ok)`` of
+    the requested files.
+
+    With ``root`` everything below it is listed once and joined to the
+    requests; nothing comes to the driver.  Without, the distinct parent folders
+    are brought to the driver and named in one load (for requests from a bounded
+    number of folders); a missing folder has no files.  The probe reads
+    ``.txt``/``.md`` bodies of requested files only, with ``length <= max_bytes``
+    pushed into the scan."""
     from quire.operators.files import MAX_FILE_BYTES, utf8_check
 
     limit = max_bytes or MAX_FILE_BYTES
-    dirs = [r[0] for r in requests.select(F.regexp_extract(F.col(path_col), r"^(.*)/[^/]*$", 1)).distinct().collect()
-            if r[0]]
-    empty = (spark.createDataFrame([], "path string, length bigint"),
-             spark.createDataFrame([], "path string, utf8_ok boolean"))
-    if not dirs:
-        return empty
-
-    def load(paths, glob=None):
-        r = spark.read.format("binaryFile")
-        if glob:
-            r = r.option("pathGlobFilter", glob)
-        return r.load(paths)
-
-    try:  # one scan over all folders; Spark lists them in parallel
-        load(dirs)
-        present = dirs
-    except AnalysisException:  # some folder is missing: keep the ones that exist
-        present = []
-        for d in dirs:
-            try:
-                load(d)
-                present.append(d)
-            except AnalysisException:
-                pass
-    if not present:
+    empty = (spark.createDataFrame([], "path string, length bigint"), spark.createDataFrame([], "path string, utf8_ok boolean"))
+    wanted = requests.select(F.col(path_col).alias("path")).where("path is not null").distinct()
+    if root is None:
+        folders = sorted(r[0] for r in wanted.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).distinct().collect() if r[0])
+        if not folders:
+            return empty
+        path = _one_glob(folders)
+    else:
+        path = _norm_root(root)
+    listing = _scan(spark, path, None, recursive=root is not None)
+    bodies = read_bodies(spark, path, limit, "*.{[tT][xX][tT],[mM][dD]}", recursive=root is not None)
+    if listing is None or bodies is None:
         return empty
-    listing = load(present).select(local_path(F.col("path")).alias("path"), "length")
-    body = (load(present, "*.{[tT][xX][tT],[mM][dD]}").where(F.col("length") <= F.lit(limit))
-            .select(local_path(F.col("path")).alias("path"), "content"))
-    return listing, utf8_check(body)
+    return listing.join(wanted, "path", "left_semi"), utf8_check(bodies.join(wanted, "path", "left_semi"))
