@@ -9,7 +9,7 @@ the work of each registered query grows with the table.  The DuckDB oracle
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import dates as D
@@ -210,6 +210,17 @@ def brand_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy(F.col("p_brand").alias("keyword")).agg(F.min("p_partkey").alias("url"))
 
 
+def section_url(part: Column) -> Column:
+    """A part as a page of one of four sections."""
+    return F.concat(F.lit("s"), part % 4, F.lit("/"), part)
+
+
+def section_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seed, url, scope) of every brand: its smallest part, and that part's section."""
+    start = brand_registry(spark, sf_dir)
+    return start.select(F.col("keyword").alias("seed"), section_url(F.col("url")).alias("url"), F.concat(F.lit("s"), F.col("url") % 4, F.lit("/")).alias("scope"))
+
+
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawled pages for bundles: doc_type = host slug, ord = page id,
     text = visible text."""

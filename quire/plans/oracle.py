@@ -363,13 +363,13 @@ edges AS (SELECT DISTINCT a.part AS src, b.part AS dst
           FROM lines a JOIN lines b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber - 1 = a.l_linenumber)"""
 
 
-def _walk(seeds_sql: str, depth: int = 3) -> str:
+def _walk(seeds_sql: str, depth: int = 3, keep: str = "true") -> str:
     return f"""
 seeds AS ({seeds_sql}),
 walk(seed, node, depth) AS (
   SELECT seed, node, 0 FROM seeds
   UNION
-  SELECT w.seed, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < {depth}),
+  SELECT w.seed, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < {depth} AND {keep}),
 reached AS (SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY seed, node)"""
 
 
@@ -382,12 +382,30 @@ BRANDS = "SELECT p_brand AS seed, min(p_partkey) AS node FROM part GROUP BY p_br
 CRAWL_REGISTRY = f"""WITH RECURSIVE {GRAPH}, {_walk(BRANDS)}
 SELECT seed AS doc_type, node, depth FROM reached"""
 
+CRAWL_SCOPED = f"""WITH RECURSIVE {GRAPH}, starts AS ({BRANDS}),
+{_walk(BRANDS, 4, "e.dst % 4 = (SELECT s.node % 4 FROM starts s WHERE s.seed = w.seed)")}
+SELECT seed AS doc_type, 's' || (node % 4) || '/' || node AS url, depth FROM reached"""
+
 CRAWL_RUN_STATS = f"""WITH RECURSIVE {GRAPH}, {_walk(BRANDS)},
 per AS (SELECT seed AS doc_type, count(*) AS page_count, max(depth) AS max_depth_reached FROM reached GROUP BY seed)
 SELECT s.seed AS doc_type, CAST(coalesce(per.page_count, 0) AS BIGINT) AS page_count, per.max_depth_reached,
        coalesce(per.page_count, 0) > 0 AS success
 FROM seeds s LEFT JOIN per ON per.doc_type = s.seed"""
 
+# Every host's entry starts at its first page, and no entry's address is part of another's.
+CRAWL_TO_BUNDLES = f"""WITH RECURSIVE {_features_sql('pages')},
+kinds AS (SELECT p.page_id, p.url, p.html, f.is_dynamic AND p.page_id % 3 = 0 AS rendered FROM pages p JOIN feat f USING (page_id)),
+as_html AS (SELECT page_id, url, html FROM kinds WHERE url NOT IN (SELECT url FROM kinds WHERE rendered)),
+edges AS ({_links_sql('site', 'as_html')}),
+{_walk(f"SELECT {X.url_netloc('url')} AS seed, arg_min(url, page_id) AS node FROM pages GROUP BY 1")},
+firsts AS (SELECT url, min(page_id) AS page_id FROM kinds GROUP BY url),
+per AS (
+  SELECT seed, count(f.page_id) AS page_count, count(*) FILTER (WHERE f.page_id IS NULL) AS failed_urls,
+         count(*) FILTER (WHERE NOT k.rendered AND {X.visible_text('k.html')} = '') AS empty_pages,
+         max(depth) FILTER (WHERE f.page_id IS NOT NULL) AS max_depth_reached
+  FROM reached r LEFT JOIN firsts f ON f.url = r.node LEFT JOIN kinds k ON k.page_id = f.page_id GROUP BY seed)
+SELECT seed AS doc_type, page_count, failed_urls, empty_pages, max_depth_reached, page_count > 0 AS success, page_count AS bundle_pages FROM per"""
+
 RENDER_FALLBACK = f"""WITH {MARKED_PAGES}, {_features_sql('marked')},
 rnd AS (
   SELECT url, CASE WHEN page_id % 3 = 0 THEN 200 WHEN page_id % 3 = 1
@@ -554,6 +572,8 @@ ORACLE: dict[str, str] = {
     "fetch_run_stats": FETCH_RUN_STATS,
     "crawl_bfs": CRAWL_BFS,
     "crawl_registry": CRAWL_REGISTRY,
+    "crawl_scoped": CRAWL_SCOPED,
+    "crawl_to_bundles": CRAWL_TO_BUNDLES,
     "crawl_run_stats": CRAWL_RUN_STATS,
     "render_fallback": RENDER_FALLBACK,
     "bundle_blocks": BUNDLE_BLOCKS,

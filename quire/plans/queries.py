@@ -248,6 +248,14 @@ def crawl_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_type", F.col("url").alias("node"), "depth")
 
 
+def crawl_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G3 with the seed's scope: every brand walks within the section of its start."""
+    edges = D.part_graph(spark, sf_dir).select(D.section_url(F.col("src")).alias("src"), D.section_url(F.col("dst")).alias("dst"))
+    starts = D.section_scopes(spark, sf_dir)
+    return G.bfs(edges, starts.select("seed", "url"), max_depth=4, scopes=starts.select("seed", "scope")).select(
+        F.col("seed").alias("doc_type"), "url", "depth")
+
+
 def crawl_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     reg = D.brand_registry(spark, sf_dir)
     reached = G.crawl_registry(D.part_graph(spark, sf_dir), reg, max_depth=3)
@@ -386,6 +394,7 @@ QUERIES: dict[str, Query] = {
     "fetch_run_stats": fetch_run_stats,
     "crawl_bfs": crawl_bfs,
     "crawl_registry": crawl_registry,
+    "crawl_scoped": crawl_scoped,
     "crawl_run_stats": crawl_run_stats,
     "render_fallback": render_fallback,
     "bundle_blocks": bundle_blocks,
