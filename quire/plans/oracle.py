@@ -442,7 +442,10 @@ SELECT dp.doc_type, dp.ord, dp.url, dp.ord = f.first_ord AS is_first,
        || '# Page: ' || dp.url || {NL} || {NL} || dp.text || {NL} || {NL} || repeat('=', 80) || {NL} || {NL} AS block
 FROM dp JOIN f USING (doc_type)"""
 
-BUNDLE_ROUNDTRIP = f"WITH {DOC_PAGES} SELECT doc_type, url, text FROM dp"
+BUNDLE_ROUNDTRIP = f"""WITH {DOC_PAGES}
+SELECT doc_type, row_number() OVER (PARTITION BY doc_type ORDER BY ord, url) - 1 AS page_no, url, text, {X.lit(D.CRAWLED_AT)} AS crawled_at,
+       first_value(url) OVER (PARTITION BY doc_type ORDER BY ord, url) AS first_url
+FROM dp"""
 
 PAGES_PER_DOC_TYPE = f"""WITH {DOC_PAGES}
 SELECT doc_type, count(*) AS page_count, count(*) FILTER (WHERE text = '') AS empty_pages FROM dp GROUP BY doc_type"""

@@ -288,12 +288,13 @@ def crawl_to_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bundle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK1 then SRC10: write the bundles to the shared folder, read them back."""
+    """SNK1 then SRC10: write the bundles to the shared folder, read them back in
+    their order and with their front matter."""
     from quire.session import scratch_path
 
     out = scratch_path(spark, "bundles")
-    B.write_bundles(B.bundle_blocks(D.doc_pages(spark, sf_dir), D.CRAWLED_AT), out)
-    return B.read_bundles(spark, out, partitioned=True).select("doc_type", "url", "text")
+    B.write_bundles(B.bundle_blocks(D.doc_pages(spark, sf_dir), D.CRAWLED_AT), out, file_blocks=3)
+    return B.read_bundles(spark, out, partitioned=True).select("doc_type", "page_no", "url", "text", "crawled_at", "first_url")
 
 
 def pages_per_doc_type(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,27 @@ def test_block_layout_and_roundtrip(spark, tmp_path):
     assert counts == {"api": (3, 1), "other": (1, 0)}
 
 
+def test_one_file_is_read_by_many_tasks(spark, tmp_path):
+    """Splits that cut blocks and separators anywhere; order and numbers stay."""
+    pages = [(f"https://h/{i}", f"text {i} é " * (i % 9) + "=" * (i % 3 * 40)) for i in range(120)]
+    (tmp_path / "big.txt").write_text("---\ndoc_type: Big\ncrawled_at: 2024/07/01 10:00:00\nfirst_url: https://h/0\n---\n\n"
+                                      + "".join(f"# Page: {u}\n\n{t}\n\n{SEP}\n\n" for u, t in pages), encoding="utf-8")
+    (tmp_path / "none.txt").write_text("", encoding="utf-8")
+    before = {key: spark.conf.get(key) for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "501")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        back = B.read_bundles(spark, str(tmp_path))
+        assert back.rdd.getNumPartitions() > 5
+        got = sorted((r.block_no, r.url, r.text) for r in back.collect())
+        assert got == [(i, u, t) for i, (u, t) in enumerate(pages)]
+        assert {(r.doc_type, r.crawled_at, r.first_url) for r in back.collect()} == {("Big", "2024/07/01 10:00:00", "https://h/0")}
+        assert back.where("block_no <> page_no").count() == 0
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_read_plain_bundle_files(spark, tmp_path):
     d = tmp_path / "docs"
     d.mkdir()
