@@ -106,10 +106,16 @@ def visible_text(html) -> Column:
 
 
 def text_ratio(html) -> Column:
-    """len(visible text) / len(html); 0.0 for empty html."""
+    """len(visible text) / len(html); 0.0 for empty html, 1.0 where there is no
+    html to read (such a page counts as static)."""
     h = _col(html)
-    n = F.length(h)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.length(visible_text(h)) / n)
+    return ratio_of(F.length(visible_text(h)), F.length(h))
+
+
+def ratio_of(text_len, html_len) -> Column:
+    """:func:`text_ratio` from both lengths."""
+    n = _col(html_len)
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.coalesce(_col(text_len) / n, F.lit(1.0)))
 
 
 def framework_regex(name: str) -> str:

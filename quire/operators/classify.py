@@ -33,7 +33,7 @@ def page_features(pages: DataFrame, html_col: str = "html", **extra: Column) ->
         H.framework_list(h).alias("frameworks"),
         *(column.alias(name) for name, column in extra.items()),
     )
-    ratio = F.when(F.col("html_len") == 0, F.lit(0.0)).otherwise(F.col("text_len") / F.col("html_len"))
+    ratio = H.ratio_of("text_len", "html_len")
     return feats.select(
         "page_id",
         "host",
@@ -41,7 +41,7 @@ def page_features(pages: DataFrame, html_col: str = "html", **extra: Column) ->
         "text_len",
         ratio.alias("text_ratio"),
         "frameworks",
-        ((F.col("frameworks") != "") & (ratio < F.lit(H.TEXT_RATIO_THRESHOLD))).alias("is_dynamic"),
+        (F.coalesce(F.col("frameworks") != "", F.lit(False)) & (ratio < F.lit(H.TEXT_RATIO_THRESHOLD))).alias("is_dynamic"),
         *extra,
     )
 
@@ -50,9 +50,7 @@ def with_dynamic_flag(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """All input columns plus ``is_dynamic`` -- one projection, so callers that
     keep ``html`` (render fallback) never join it back."""
     h = F.col(html_col)
-    n = F.length(h)
-    ratio = F.when(n == 0, F.lit(0.0)).otherwise(F.length(H.visible_text(h)) / n)
-    return pages.withColumn("is_dynamic", (H.framework_list(h) != "") & (ratio < F.lit(H.TEXT_RATIO_THRESHOLD)))
+    return pages.withColumn("is_dynamic", F.coalesce(H.framework_list(h) != "", F.lit(False)) & (H.text_ratio(h) < F.lit(H.TEXT_RATIO_THRESHOLD)))
 
 
 def site_render_needs(features: DataFrame) -> DataFrame:

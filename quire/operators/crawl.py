@@ -190,6 +190,11 @@ def crawl_runs(registry: DataFrame, reached: DataFrame, failed_pages: DataFrame
     )
 
 
+def crawl_run_errors(runs: DataFrame) -> DataFrame:
+    """A3: the errors of a run as rows (doc_type, error), one a failed entry."""
+    return runs.where(~F.col("success")).select("doc_type", "error")
+
+
 def crawl_run_stats(runs: DataFrame) -> DataFrame:
     """A3: one-row totals over all registry entries.  ``file_count`` is one
     bundle per successful entry; ``total_pages`` counts real pages."""

@@ -32,7 +32,7 @@ def validate(requests: DataFrame, listing: DataFrame, utf8_ok: DataFrame | None
     """requests(..., file_path) x listing(path, length) [x utf8_ok(path, utf8_ok)]
     -> requests + (valid, error, size, extension).
 
-    Order: exists -> extension -> size <= 50 MiB -> UTF-8 (text only); first
+    Order: path given (F9) -> exists -> extension -> size <= 50 MiB -> UTF-8 (text only); first
     failure wins.  size = 0 for the first two failures; extension = '' when
     the file does not exist.  ``utf8_ok`` missing for a text file counts as
     valid UTF-8 (caller did not ask for the byte check).
@@ -52,7 +52,8 @@ def validate(requests: DataFrame, listing: DataFrame, utf8_ok: DataFrame | None
     small = F.col("_len") <= F.lit(MAX_FILE_BYTES)
     text_ok = ~ext.isin(*TEXT_EXTENSIONS) | F.coalesce(F.col("_utf8"), F.lit(True))
     error = (
-        F.when(~exists, F.concat(F.lit("File not found: "), p))
+        F.when(F.coalesce(p, F.lit("")) == "", F.lit("file_path is required"))
+        .when(~exists, F.concat(F.lit("File not found: "), p))
         .when(~supported, F.concat(F.lit("Unsupported file extension: "), ext,
                                    F.lit(". Supported: " + ", ".join(SUPPORTED_EXTENSIONS))))
         .when(~small, F.format_string("File too large: %.2fMB. Maximum: " + MAX_FILE_LABEL,

@@ -40,6 +40,20 @@ def render_outcome(status: F.Column, success: F.Column, markdown: F.Column, firs
                     err.alias("error"))
 
 
+def scan_renders(responses: DataFrame) -> DataFrame:
+    """SRC5: responses(request_url, status, success, markdown, url, timestamp,
+    error) -> (url, status, success, markdown, timestamp, error) with the
+    defaults of a response: of a good one no markdown and no time are empty
+    and no url is the request's; any other has no markdown, no time and the
+    request's url."""
+    good = (F.col("status") == 200) & F.coalesce(F.col("success"), F.lit(False))
+    return responses.select(
+        F.when(good, F.coalesce("url", "request_url")).otherwise(F.col("request_url")).alias("url"), "status", good.alias("success"),
+        F.when(good, F.coalesce("markdown", F.lit(""))).otherwise(F.lit("")).alias("markdown"),
+        F.when(good, F.coalesce("timestamp", F.lit(""))).otherwise(F.lit("")).alias("timestamp"),
+        F.when(~good, F.coalesce("error", F.lit("Unknown error"))).alias("error"))
+
+
 def render_fallback(pages: DataFrame, renders: DataFrame | None, renderer_available: bool = True) -> DataFrame:
     """pages(page_id, url, html, is_dynamic) [x renders(url, status, success,
     markdown, error)] -> content per page.

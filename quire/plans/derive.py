@@ -170,6 +170,17 @@ def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("url"), status.alias("status"), kind.alias("error_kind"))
 
 
+def render_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A render response for each page, by page_id % 5: whole, without url,
+    without markdown and time, no success, or an error without a message."""
+    k = F.col("page_id") % 5
+    full = F.when(k != 2, F.concat(F.lit("rendered "), F.col("page_id")))
+    return T.pages(spark, sf_dir, with_html=False).select(
+        F.col("url").alias("request_url"), F.when(k == 4, F.lit(503)).otherwise(F.lit(200)).alias("status"), (k != 3).alias("success"),
+        full.alias("markdown"), F.when(k != 1, F.concat(F.col("url"), F.lit("#done"))).alias("url"),
+        F.when(k != 2, F.lit(CRAWLED_AT)).alias("timestamp"), F.when(k == 3, F.lit("no browser")).alias("error"))
+
+
 def renders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One render result per page, kind by page_id % 3: 0 ok (markdown),
     1 failed with a message, 2 gateway timeout without a message."""

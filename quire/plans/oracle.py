@@ -194,6 +194,11 @@ SELECT doc_type, count(*) FILTER (WHERE deleted) AS deleted_count, count(*) FILT
        max(age_days) AS max_age_days
 FROM report GROUP BY doc_type"""
 
+RETENTION_TOTALS = f"""WITH {STORES}, {EXPIRED}, {REPORT}
+SELECT doc_type, count(*) AS expired_count, count(*) FILTER (WHERE deleted) AS deleted_count, count(*) FILTER (WHERE NOT deleted) AS error_count,
+       min(error) AS first_error
+FROM report GROUP BY ROLLUP (doc_type)"""
+
 REGISTRY_AFTER_RETENTION = f"""WITH {STORES}, {EXPIRED}, {REPORT}
 SELECT s.doc_type, s.pos, s.rag_id, s.created_at FROM stores s
 WHERE NOT EXISTS (SELECT 1 FROM report r WHERE r.deleted AND r.doc_type = s.doc_type AND r.rag_id = s.rag_id)"""
@@ -386,6 +391,14 @@ CRAWL_SCOPED = f"""WITH RECURSIVE {GRAPH}, starts AS ({BRANDS}),
 {_walk(BRANDS, 4, "e.dst % 4 = (SELECT s.node % 4 FROM starts s WHERE s.seed = w.seed)")}
 SELECT seed AS doc_type, 's' || (node % 4) || '/' || node AS url, depth FROM reached"""
 
+CRAWL_RUN_ERRORS = """SELECT 'gone ' || p_brand AS doc_type, 'No pages crawled for gone ' || p_brand AS error FROM part GROUP BY p_brand"""
+
+SCAN_RENDERS = f"""SELECT CASE WHEN page_id % 5 IN (0, 2) THEN url || '#done' ELSE url END AS url, CASE WHEN page_id % 5 = 4 THEN 503 ELSE 200 END AS status,
+  page_id % 5 < 3 AS success, CASE WHEN page_id % 5 < 2 THEN 'rendered ' || page_id ELSE '' END AS markdown,
+  CASE WHEN page_id % 5 < 2 THEN {X.lit(D.CRAWLED_AT)} ELSE '' END AS timestamp,
+  CASE page_id % 5 WHEN 3 THEN 'no browser' WHEN 4 THEN 'Unknown error' END AS error
+FROM pages"""
+
 CRAWL_RUN_STATS = f"""WITH RECURSIVE {GRAPH}, {_walk(BRANDS)},
 per AS (SELECT seed AS doc_type, count(*) AS page_count, max(depth) AS max_depth_reached FROM reached GROUP BY seed)
 SELECT s.seed AS doc_type, CAST(coalesce(per.page_count, 0) AS BIGINT) AS page_count, per.max_depth_reached,
@@ -562,6 +575,7 @@ ORACLE: dict[str, str] = {
     "expired_stores": EXPIRED_STORES,
     "retention_report": RETENTION_REPORT,
     "retention_summary": RETENTION_SUMMARY,
+    "retention_totals": RETENTION_TOTALS,
     "registry_after_retention": REGISTRY_AFTER_RETENTION,
     "unregister_stores": UNREGISTER_STORES,
     "file_validation": FILE_VALIDATION,
@@ -576,6 +590,8 @@ ORACLE: dict[str, str] = {
     "crawl_bfs": CRAWL_BFS,
     "crawl_registry": CRAWL_REGISTRY,
     "crawl_scoped": CRAWL_SCOPED,
+    "crawl_run_errors": CRAWL_RUN_ERRORS,
+    "scan_renders": SCAN_RENDERS,
     "crawl_to_bundles": CRAWL_TO_BUNDLES,
     "crawl_run_stats": CRAWL_RUN_STATS,
     "render_fallback": RENDER_FALLBACK,

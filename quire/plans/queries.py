@@ -142,6 +142,11 @@ def retention_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.retention_summary(report)
 
 
+def retention_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 with the grand total."""
+    return S.retention_totals(retention_report(spark, sf_dir))
+
+
 def registry_after_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, remaining = S.apply_retention(D.stores(spark, sf_dir), D.NOW, D.delete_outcomes(spark, sf_dir),
                                      D.MAX_AGE_DAYS)
@@ -263,6 +268,21 @@ def crawl_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("doc_type", "page_count", "max_depth_reached", "success")
 
 
+def crawl_run_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: of a run over the brands and one more entry a brand whose page is gone, the errors."""
+    brands = D.brand_registry(spark, sf_dir)
+    gone = brands.select(F.concat(F.lit("gone "), F.col("keyword")).alias("keyword"), (-F.col("url") - 1).alias("url"))
+    registry = brands.unionByName(gone)
+    pages = T.table(spark, sf_dir, "part", "p_partkey").withColumnRenamed("p_partkey", "url")
+    reached = G.crawl_registry(D.part_graph(spark, sf_dir), registry, max_depth=1).join(pages, "url", "left_semi")
+    return G.crawl_run_errors(G.crawl_runs(registry, reached))
+
+
+def scan_renders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC5: render responses with their defaults."""
+    return R.scan_renders(D.render_responses(spark, sf_dir))
+
+
 def render_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = C.with_dynamic_flag(D.marked_pages(spark, sf_dir))
     out = R.render_fallback(pages, D.renders(spark, sf_dir))
@@ -382,6 +402,7 @@ QUERIES: dict[str, Query] = {
     "expired_stores": expired_stores,
     "retention_report": retention_report,
     "retention_summary": retention_summary,
+    "retention_totals": retention_totals,
     "registry_after_retention": registry_after_retention,
     "unregister_stores": unregister_stores,
     "file_validation": file_validation,
@@ -397,6 +418,8 @@ QUERIES: dict[str, Query] = {
     "crawl_registry": crawl_registry,
     "crawl_scoped": crawl_scoped,
     "crawl_run_stats": crawl_run_stats,
+    "crawl_run_errors": crawl_run_errors,
+    "scan_renders": scan_renders,
     "render_fallback": render_fallback,
     "bundle_blocks": bundle_blocks,
     "crawl_to_bundles": crawl_to_bundles,

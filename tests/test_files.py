@@ -129,3 +129,9 @@ def test_outcomes_per_file(spark):
     assert {r.pos for r in V.store_documents(V.file_outcomes(val, errs)).collect()} == set(range(2, 40, 3))
     none_valid = V.load_outcome(val.where("not valid")).first()
     assert none_valid.error == "No valid files to upload:\n" + "\n".join(f"bad {i}" for i in range(0, 40, 3))
+
+
+def test_path_is_required(spark):
+    req = spark.createDataFrame([("b", 0, ""), ("b", 1, None)], "batch_id string, pos int, file_path string")
+    got = V.load_file(V.validate(req, spark.createDataFrame([("/x", 1)], "path string, length bigint"))).collect()
+    assert [(r.success, r.error, r.store_id) for r in got] == [(False, "file_path is required", None)] * 2

@@ -184,3 +184,10 @@ def test_megabyte_runs_are_linear(spark, name):
     row = spark.createDataFrame([(page,)], "h string").select(
         F.length(H.visible_text("h")).alias("n"), H.href_values("h").alias("hrefs")).collect()[0]
     assert (row.n, row.hrefs) == (n_text, hrefs) and time.time() - start < 60
+
+
+def test_no_html_counts_as_static(spark):
+    rows = spark.createDataFrame([(1, "https://h/a", None), (2, "https://h/b", "")], "page_id int, url string, html string")
+    got = {r.page_id: (r.text_ratio, r.is_dynamic) for r in page_features(rows).collect()}
+    assert got == {1: (1.0, False), 2: (0.0, False)}
+    assert [r[0] for r in rows.orderBy("page_id").select(H.text_ratio("html")).collect()] == [1.0, 0.0]
