@@ -335,41 +335,69 @@ def distinct_words(vocabulary: Vocabulary, known, limit: int):
     return run
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) of every row's whole text."""
+def per_text(docs: DataFrame, vocabulary: Vocabulary, of_word, of_text, id_col: str, text_col: str) -> DataFrame:
+    """(id, columns): ``of_word`` makes a value of the ids of each distinct word,
+    ``of_text`` columns of a text's words; it gets a function that maps a
+    function of such a value over the text's words, in their order."""
     known = docs.sparkSession.sparkContext.broadcast(known_words(docs, vocabulary, text_col))
     early = strings_literal(vocabulary.early)
     groups = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         distinct_words(vocabulary, known, GROUP_CHARS), "ids array<long>, places array<array<int>>, words array<struct<parts:string,done:boolean>>")
-    found = let(rank_literal(vocabulary), lambda ranks: F.transform("words", lambda w: part_ids(
-        F.when(w["done"], w["parts"]).otherwise(merged_parts(ranks, early, w["parts"])))))
+    found = let(rank_literal(vocabulary), lambda ranks: F.transform("words", lambda w: let(
+        part_ids(F.when(w["done"], w["parts"]).otherwise(merged_parts(ranks, early, w["parts"]))), of_word)))
     texts = let(found, lambda word: F.zip_with("ids", "places", lambda i, place: F.struct(
-        i.alias("id"), F.flatten(F.transform(place, lambda at: F.get(word, at))).alias("ids"))))
-    return groups.select(F.inline(texts)).select(F.col("id").alias(id_col), "ids")
+        i.alias("_id"), *of_text(lambda value: F.transform(place, lambda at: value(F.get(word, at)))))))
+    rows = groups.select(F.inline(texts))
+    return rows.select(F.col("_id").alias(id_col), *rows.columns[1:])
 
 
-def joined_bytes(pieces: list[bytes], ids: Column) -> Column:
-    """One binary of the pieces of the ids; a byte is a Latin-1 character on the way."""
-    return F.encode(let(strings_literal([p.decode("latin-1") for p in pieces]),
-                        lambda piece: F.array_join(F.transform(ids, lambda i: F.get(piece, i)), "")), "ISO-8859-1")
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids array<int>) of every row's whole text."""
+    return per_text(docs, vocabulary, lambda ids: ids, lambda words: [F.flatten(words(lambda ids: ids)).alias("ids")], id_col, text_col)
 
 
-def decode(vocabulary: Vocabulary, ids: Column) -> Column:
-    """The bytes of an array of ids: their pieces, joined to one binary."""
+def piece_list(vocabulary: Vocabulary) -> list[bytes]:
+    """The pieces by id, empty where there is none."""
     pieces = [b""] * (max(vocabulary.ranks.values(), default=-1) + 1)
     for token, rank in vocabulary.ranks.items():
         pieces[rank] = token
-    return joined_bytes(pieces, ids)
+    return pieces
+
+
+def packed_list(vocabulary: Vocabulary) -> list[bytes]:
+    """The ids as unsigned 32-bit integers, lowest byte first."""
+    return [i.to_bytes(4, "little") for i in range(max(vocabulary.ranks.values(), default=-1) + 1)]
+
+
+def joined(pieces: list[bytes], ids: Column) -> Column:
+    """The pieces of the ids, joined; a byte is a Latin-1 character."""
+    literal = strings_literal([p.decode("latin-1") for p in pieces])
+    return let(literal, lambda piece: F.array_join(F.transform(ids, lambda i: F.get(piece, i)), ""))
+
+
+def to_bytes(text: Column) -> Column:
+    return F.encode(text, "ISO-8859-1")
+
+
+def decode(vocabulary: Vocabulary, ids: Column) -> Column:
+    """The bytes of an array of ids: their pieces, joined to one binary."""
+    return to_bytes(joined(piece_list(vocabulary), ids))
 
 
 def little_endian(vocabulary: Vocabulary, ids: Column) -> Column:
     """The ids as unsigned 32-bit integers, lowest byte first."""
-    return joined_bytes([i.to_bytes(4, "little") for i in range(max(vocabulary.ranks.values(), default=-1) + 1)], ids)
+    return to_bytes(joined(packed_list(vocabulary), ids))
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of each distinct word are packed and decoded once; a text's bytes
+    are those of its words, one after the other."""
     vocabulary = public_vocabulary()
-    ids = F.col("ids")
-    return encode(read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary).select(
-        "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(little_endian(vocabulary, ids), 256).alias("ids_sha256"),
-        F.sha2(decode(vocabulary, ids), 256).alias("decoded_sha256"))
+    pieces, packed = piece_list(vocabulary), packed_list(vocabulary)
+    whole = lambda words, name: to_bytes(F.array_join(words(lambda w: w[name]), ""))
+    return per_text(
+        read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary,
+        lambda ids: F.struct(F.size(ids).alias("n"), joined(packed, ids).alias("packed"), joined(pieces, ids).alias("decoded")),
+        lambda words: [F.aggregate(words(lambda w: w["n"]), F.lit(0).cast("long"), lambda a, n: a + n).alias("n_tokens"),
+                       F.sha2(whole(words, "packed"), 256).alias("ids_sha256"), F.sha2(whole(words, "decoded"), 256).alias("decoded_sha256")],
+        "doc_id", "text")
