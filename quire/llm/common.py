@@ -37,6 +37,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trimmed(step):
+    """The Arrow step; when a task of it ends, its worker, which Spark keeps for
+    later tasks, gives the memory that is free back to the system."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from step(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def fill_nulls(arr: pa.Array, value) -> pa.Array:
     return arr.fill_null(value) if arr.null_count else arr
 
