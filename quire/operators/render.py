@@ -54,6 +54,14 @@ def scan_renders(responses: DataFrame) -> DataFrame:
         F.when(~good, F.coalesce("error", F.lit("Unknown error"))).alias("error"))
 
 
+def good_renders(pages: DataFrame, renders: DataFrame) -> DataFrame:
+    """J8 for pages(page_id, url, is_dynamic) that are kept without their html:
+    (page_id, url, markdown) of the dynamic pages whose render succeeded."""
+    r = renders.select(F.col("url").alias("_rurl"), render_outcome(F.col("status"), F.col("success"), F.col("markdown"), F.col("error")).alias("_r"))
+    return (pages.where("is_dynamic").join(r.where("_r.ok"), F.col("url") == F.col("_rurl"))
+            .select("page_id", "url", F.col("_r.markdown").alias("markdown")))
+
+
 def render_fallback(pages: DataFrame, renders: DataFrame | None, renderer_available: bool = True) -> DataFrame:
     """pages(page_id, url, html, is_dynamic) [x renders(url, status, success,
     markdown, error)] -> content per page.
