@@ -133,7 +133,8 @@ def resolve_keywords(requests: DataFrame, registry: DataFrame) -> DataFrame:
 def infer_doc_type(seeds: DataFrame, registry: DataFrame) -> DataFrame:
     """seeds(seed_id, start_url) -> doc_type = keyword of the first registry
     entry (by pos) whose url is a substring of start_url or contains it;
-    otherwise the host slug (netloc with '.' -> '_')."""
+    otherwise the host slug (netloc with '.' -> '_').  An empty registry url is
+    in every start_url, and an empty start_url in every registry url."""
     s = seeds.select("seed_id", "start_url")
     reg = registry.select("pos", "keyword", "url")
     # registry url inside start_url: explode the seed's grams, probe with the url's probe
@@ -147,7 +148,13 @@ def infer_doc_type(seeds: DataFrame, registry: DataFrame) -> DataFrame:
     b = (s.withColumn("g", _probe(F.col("start_url"))).join(r_grams, "g")
          .where(F.instr("url", F.col("start_url")) > 0).select("seed_id", "pos", "keyword"))
     first = a.unionByName(b).groupBy("seed_id").agg(F.min(F.struct("pos", "keyword")).alias("m"))
-    return s.join(first, "seed_id", "left").select(
+    # empty strings have no grams: one row with the first entry of all and the first without a url
+    entry = F.when(F.col("url").isNotNull(), F.struct("pos", "keyword"))
+    of_all = sized(reg.agg(F.min(entry).alias("any"), F.min(F.when(F.col("url") == "", F.struct("pos", "keyword"))).alias("blank"))
+                   .withColumn("given", F.lit(True)), "first-entries")
+    found = s.withColumn("given", F.col("start_url").isNotNull()).join(first, "seed_id", "left").join(of_all, "given", "left")
+    found = found.withColumn("m", F.least("m", "blank", F.when(F.col("start_url") == "", F.col("any"))))
+    return found.select(
         "seed_id", "start_url",
         F.coalesce(F.col("m.keyword"), U.host_slug("start_url")).alias("doc_type"),
         F.when(F.col("m").isNotNull(), F.lit("registry")).otherwise(F.lit("host")).alias("source"),

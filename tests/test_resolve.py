@@ -61,3 +61,14 @@ def test_infer_doc_type_first_match_and_slug(spark):
                                    (3, "https://fastdocs.example.org")], "seed_id int, start_url string")
     out = {r.seed_id: r.doc_type for r in infer_doc_type(seeds, spark.createDataFrame(reg, DDL)).collect()}
     assert out == {1: "Fast Docs", 2: "docs_kit_example", 3: "Fast Docs"}
+
+
+def test_infer_doc_type_of_empty_urls(spark):
+    """Against the plain rule: an empty string is in every string."""
+    reg = [(0, "A", "n", "https://a.example/", None), (3, "Blank", "n", "", None), (5, "B", "n", "https://b.example/", None), (6, "Blank2", "n", "", None)]
+    starts = ["https://a.example/x", "https://b.example/x", "https://c.example/", "", "https://a"]
+    seeds = spark.createDataFrame(list(enumerate(starts)), "seed_id int, start_url string")
+    for entries in (reg, reg[::2], reg[2:], []):
+        want = [next((k for _, k, _, u, _ in entries if u in s or s in u), None) for s in starts]
+        got = [(r.doc_type, r.source) for r in infer_doc_type(seeds, spark.createDataFrame(entries, DDL)).orderBy("seed_id").collect()]
+        assert [d if source == "registry" else None for d, source in got] == want
