@@ -70,11 +70,6 @@ def write_bundles(blocks: DataFrame, path: str, num_partitions: int | None = Non
      .write.mode("overwrite").option("maxRecordsPerFile", file_blocks).partitionBy("doc_type").text(path))
 
 
-def write_bundle_table(blocks: DataFrame, path: str) -> None:
-    """Parquet twin of the bundles, partitioned by doc_type (partition pruning
-    for per-doc_type listings)."""
-    blocks.write.mode("overwrite").partitionBy("doc_type").parquet(path)
-
 
 def read_bundles(spark: SparkSession, path: str, partitioned: bool = False) -> DataFrame:
     """SRC10: bundle text files -> (doc_type, file, block_no, page_no, url, text,

@@ -36,8 +36,3 @@ def resolve_links(hrefs: DataFrame, scope: str = "page") -> DataFrame:
         strip = lambda c: F.regexp_replace(c, r"/+$", "")
         cond = cond & strip(F.col("dst_path")).startswith(strip(F.col("src_path")))
     return joined.where(cond).select("src", "dst").distinct()
-
-
-def links_per_page(links: DataFrame) -> DataFrame:
-    """Out-degree per source page (partial aggregation)."""
-    return links.groupBy("src").agg(F.count(F.lit(1)).alias("n_links"))

@@ -99,7 +99,7 @@ HOSTS = f"""
 pg AS (SELECT page_id, url, {X.url_netloc('url')} AS host FROM pages),
 reg AS (SELECT min(page_id) AS pos, host AS keyword, 'https://' || host || '/' AS url FROM pg GROUP BY host)"""
 
-RESOLVE_KEYWORDS = f"""WITH {HOSTS},
+_KEYWORD_HITS = f"""{HOSTS},
 req AS (
   SELECT page_id * 5 + 0 AS req_id, url AS keyword_or_url FROM pg UNION ALL
   SELECT page_id * 5 + 1, upper(host) FROM pg UNION ALL
@@ -109,7 +109,11 @@ req AS (
 hits AS (
   SELECT r.req_id, r.keyword_or_url, g.pos, g.keyword, g.url
   FROM req r JOIN reg g ON instr(lower(g.keyword), lower(r.keyword_or_url)) > 0
-  WHERE r.keyword_or_url <> '' AND NOT {X.is_url('r.keyword_or_url')}),
+  WHERE r.keyword_or_url <> '' AND NOT {X.is_url('r.keyword_or_url')})"""
+
+KEYWORD_MATCHES = f"WITH {_KEYWORD_HITS} SELECT req_id, pos, keyword FROM hits"
+
+RESOLVE_KEYWORDS = f"""WITH {_KEYWORD_HITS},
 per AS (
   SELECT req_id, max(CASE WHEN keyword = keyword_or_url THEN url END) AS exact_url,
          arg_min(url, pos) FILTER (WHERE lower(keyword) = lower(keyword_or_url)) AS ci_url,
@@ -569,6 +573,7 @@ ORACLE: dict[str, str] = {
     "page_links": PAGE_LINKS,
     "page_links_scoped": PAGE_LINKS_SCOPED,
     "resolve_keywords": RESOLVE_KEYWORDS,
+    "keyword_matches": KEYWORD_MATCHES,
     "infer_doc_type": INFER_DOC_TYPE,
     "latest_store": LATEST_STORE,
     "store_counts": STORE_COUNTS,

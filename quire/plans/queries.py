@@ -61,6 +61,11 @@ def resolve_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.resolve_keywords(D.resolve_requests(spark, sf_dir), D.host_registry(spark, sf_dir))
 
 
+def keyword_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11 as rows: the registry keywords that contain each request."""
+    return J.keyword_matches(D.resolve_requests(spark, sf_dir), D.host_registry(spark, sf_dir))
+
+
 def infer_doc_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = T.pages(spark, sf_dir, with_html=False).select(F.col("page_id").alias("seed_id"),
                                                            F.col("url").alias("start_url"))
@@ -389,6 +394,7 @@ QUERIES: dict[str, Query] = {
     "page_links": page_links,
     "page_links_scoped": page_links_scoped,
     "resolve_keywords": resolve_keywords,
+    "keyword_matches": keyword_matches,
     "infer_doc_type": infer_doc_type,
     "latest_store": latest_store,
     "store_counts": store_counts,
