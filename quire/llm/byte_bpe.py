@@ -258,7 +258,8 @@ def known_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> dict[
     frequent = counts.where(F.floor(F.log2("n") * 4) >= least).select("word", spelt.alias("bytes"))
     folded = frequent.select("word", let(rank_literal(vocabulary), lambda ranks: merged_parts(ranks, strings_literal(vocabulary.early), F.col("bytes"))).alias("parts"))
     odd = {t.decode("utf-8", "ignore"): char(vocabulary.ranks[t]) for t in vocabulary.odd}
-    return {row["word"]: odd.get(row["word"], row["parts"]) for row in folded.collect()}
+    table = folded.toArrow()
+    return {word: odd.get(word, parts) for batch in table.to_batches() for word, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
 
 
 def distinct_words(vocabulary: Vocabulary, known, limit: int):
@@ -339,7 +340,9 @@ def per_text(docs: DataFrame, vocabulary: Vocabulary, of_word, of_text, id_col:
     """(id, columns): ``of_word`` makes a value of the ids of each distinct word,
     ``of_text`` columns of a text's words; it gets a function that maps a
     function of such a value over the text's words, in their order."""
-    known = docs.sparkSession.sparkContext.broadcast(known_words(docs, vocabulary, text_col))
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 20))  # the literals would fill the plans that the driver keeps as text
+    known = spark.sparkContext.broadcast(known_words(docs, vocabulary, text_col))
     early = strings_literal(vocabulary.early)
     groups = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         distinct_words(vocabulary, known, GROUP_CHARS), "ids array<long>, places array<array<int>>, words array<struct<parts:string,done:boolean>>")
