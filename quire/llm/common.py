@@ -42,14 +42,12 @@ def trimmed(step):
     later tasks, gives the memory that is free back to the system."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ctypes
-        import gc
 
         import pyarrow as pa
 
         try:
             yield from step(batches)
         finally:
-            gc.collect()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
             if trim is not None:
