@@ -31,3 +31,14 @@ def test_stream_dedups_urls_across_batches(spark, tmp_path):
     run_available_now(classify_stream(stream, dedup_urls=True), out, ckpt)
     got = sorted(r.page_id for r in spark.read.parquet(out).collect())
     assert len(got) == 3 and {2, 4} <= set(got)
+
+
+def test_table_of_part_files(spark, tmp_path):
+    """Larger tables are folders of part files; an empty one gives no rows."""
+    own = [(i, f"https://h{i % 3}/p{i}", f"<div id='root'>{i}</div>") for i in range(20)]
+    p = spark.createDataFrame(own, "page_id long, url string, html string")
+    p.repartition(4).write.parquet(str(tmp_path / "many" / "pages.parquet"))
+    streamed = page_features_stream_run(spark, str(tmp_path / "many"), out_path=str(tmp_path / "run"))
+    assert rows(streamed, *page_features(p).columns) == rows(page_features(p))
+    p.limit(0).write.parquet(str(tmp_path / "none" / "pages.parquet"))
+    assert page_features_stream_run(spark, str(tmp_path / "none"), out_path=str(tmp_path / "run0")).count() == 0
