@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,6 +110,48 @@ def gather_upload_inputs(spark: SparkSession, root: str, doc_types: str | DataFr
                         F.col("path").alias("file_path"), F.when(F.col("path").isNull(), missing).alias("error"))
 
 
+def _folder(doc_type: str) -> str:
+    """The folder of a partition value, named as Spark names it."""
+    shown = re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", doc_type)
+    return "doc_type=" + (shown or "__HIVE_DEFAULT_PARTITION__")
+
+
+def write_text_files(rows: DataFrame, path: str) -> None:
+    """A file of one line for each of rows(doc_type, value), below
+    ``doc_type=<doc_type>``.
+
+    In a store that is mounted as a folder the tasks write the files themselves:
+    Spark's own writer starts a process or two for each file's permissions
+    there.  A file has its final name only when it is whole, and a task that is
+    repeated gives the same names."""
+    root = _shown_root(path)
+    if re.match(r"\w+:", root):
+        rows.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("doc_type").text(path)
+        return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, n, made = TaskContext.get(), 0, set()
+        for batch in batches:
+            for doc_type, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                folder = os.path.join(root, _folder(doc_type))
+                if folder not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
+                name = f"part-{task.partitionId():05d}-{n:07d}.txt"
+                part = os.path.join(folder, f".{name}.{task.taskAttemptId()}")
+                with open(part, "wb") as f:
+                    f.write(value.as_py() + b"\n")
+                os.replace(part, os.path.join(folder, name))
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    os.makedirs(root, exist_ok=True)
+    rows.select("doc_type", F.col("value").cast("binary")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def read_bodies(spark: SparkSession, path: str, max_bytes: int, glob: str | None = None, recursive: bool = False) -> DataFrame | None:
     """(path, content) of the files up to ``max_bytes``, a filter that the scan
     itself applies; None where there is no such folder."""

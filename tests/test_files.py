@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import files as V
-from quire.sources.files import gather_upload_inputs, scan_corpus_files, scan_corpus_files_of_type, scan_local_files
+from quire.sources.files import gather_upload_inputs, scan_corpus_files, scan_corpus_files_of_type, scan_local_files, write_text_files
 
 
 def make_files(tmp_path):
@@ -135,3 +135,20 @@ def test_path_is_required(spark):
     req = spark.createDataFrame([("b", 0, ""), ("b", 1, None)], "batch_id string, pos int, file_path string")
     got = V.load_file(V.validate(req, spark.createDataFrame([("/x", 1)], "path string, length bigint"))).collect()
     assert [(r.success, r.error, r.store_id) for r in got] == [(False, "file_path is required", None)] * 2
+
+
+def test_text_files_are_those_of_the_text_writer(spark, tmp_path):
+    """Same folders and bytes as Spark's writer, with no second file for each."""
+    own = [("a", "one"), ("a", "one"), ("b/c d=1%", ""), ("", "é\nx"), ("ü", "two"), ("q'[x]{y}^?#", "three")]
+    df = spark.createDataFrame(own, "doc_type string, value string").repartition(2)
+    df = df.unionByName(spark.sql("select 'a' doc_type, cast(unhex('C328') as string) value"))
+    write_text_files(df, str(tmp_path / "own"))
+    df.write.option("maxRecordsPerFile", 1).partitionBy("doc_type").text(str(tmp_path / "spark"))
+
+    def found(root):
+        return sorted((str(p.parent.relative_to(root)), p.read_bytes()) for p in root.rglob("part-*.txt"))
+
+    assert found(tmp_path / "own") == found(tmp_path / "spark") and len(found(tmp_path / "own")) == 7
+    assert sum(p.is_file() for p in (tmp_path / "own").rglob("*")) == 7
+    write_text_files(df.limit(0), "file:" + str(tmp_path / "none"))
+    assert scan_corpus_files(spark, str(tmp_path / "none")).count() == 0
