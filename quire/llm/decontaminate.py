@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import read_table, text_blocks
+from .common import read_table, text_blocks, trimmed
 
 WINDOW = 13
 SHARD_BYTES = 2 << 20
@@ -235,7 +235,7 @@ def item_words(benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("item_id")), pa.array(words, pa.binary())],
                                              ["item_id", "words"])
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, words binary")
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(trimmed(run), "item_id long, words binary")
 
 
 OUT = "doc_id long, digest long, n_words long, items array<long>, spans array<struct<start:long,end:long>>"
@@ -251,7 +251,7 @@ def _search(docs: DataFrame, phrases, shard_bytes: int) -> DataFrame:
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             for lo, hi, data, off in text_blocks(batch, "text", shard_bytes):
-                words, bounds = T.word_hashes(data, off, T.ALNUM, lower=True)
+                words, bounds = T.word_hashes_in_parts(data, off, T.ALNUM, lower=True)
                 n = hi - lo
                 items, spans = [[] for _ in range(n)], [[] for _ in range(n)]
                 if ph is not None:
@@ -284,7 +284,7 @@ def _search(docs: DataFrame, phrases, shard_bytes: int) -> DataFrame:
                      pa.array(items, pa.list_(pa.int64())), pa.array(spans, span_type)],
                     ["doc_id", "digest", "n_words", "items", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, OUT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), OUT)
 
 
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES,

@@ -75,3 +75,22 @@ def test_index_finds_and_locates_every_phrase():
             for p, a, b in zip(phrases, lo, hi, strict=True):
                 want = [i for s, n in zip(starts, lens, strict=True) for i in range(s, s + n - k + 1) if (seq[i:i + k] == p).all()]
                 assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def test_words_are_hashed_in_parts(monkeypatch):
+    """A shard's words don't depend on the parts, and a task keeps no powers for long texts."""
+    from quire.llm import tokens as T
+    from quire.llm.common import trimmed
+
+    texts = ["One two", "", "three", "a b c " * 20, "", "End"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.cumsum([0, *map(len, texts)])
+    whole = T.word_hashes(data, off, T.ALNUM, True)
+    for limit in (1, 8, 30, 1000):
+        words, bounds = T.word_hashes_in_parts(data, off, T.ALNUM, True, limit)
+        assert words.tolist() == whole[0].tolist() and bounds.tolist() == whole[1].tolist()
+    assert [len(x) for x in T.word_hashes_in_parts(data[:0], np.zeros(1, np.int64), T.ALNUM, True)] == [0, 1]
+    monkeypatch.setattr(T, "SHORT_TABLE", 16)
+    monkeypatch.setattr(T, "_POWERS", {})
+    step = trimmed(lambda batches: (T.word_hashes(data, off, T.ALNUM, True) for _ in batches))
+    assert len(list(step(iter([1])))) == 1 and not T._POWERS
