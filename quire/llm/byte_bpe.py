@@ -4,11 +4,12 @@ A small Arrow step replaces the texts of a group (about ``GROUP_CHARS``
 characters, whole texts) by its distinct words and, for each text, the numbers
 of its words in order.  The merging itself is Spark's: higher-order functions
 fold the ranked merges over the byte array of each distinct word, with the
-ranks as one literal (an array of small maps, found by the CRC-32 of a pair, so
+ranks as one literal (an array of short strings, found by the CRC-32 of a pair, so
 that a look-up doesn't scan all ranks).  The texts' ids are then put together by
-position within the same row; no text is shuffled, and no row holds more than
-one group or one text.  Decoding takes the pieces of the ids from a literal
-array and joins them to one binary.
+position from those of the words of the same row, in a second Arrow step; no text
+is shuffled, and no row holds more than one group or one text.  Decoding takes the
+pieces of the ids from a literal array and joins them to one binary; the query
+takes them by distinct word, in that second step.
 
 The words that most groups share are merged once: the words counted in one
 document of ``SAMPLE`` by the hash of its text, at most ``KNOWN_WORDS`` of them
@@ -42,22 +43,27 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import materialize, read_table, trimmed
 
 #: of a group of texts that share their distinct words
 GROUP_CHARS = 1 << 25
+#: of groups that go to a Python task at a time; at least one
+GROUP_BYTES = 1 << 24
 #: words merged once for all groups, and the share of documents in which they are counted
 KNOWN_WORDS, SAMPLE = 1 << 18, 16
+#: words of whole texts that are put together at a time
+TEXT_WORDS = 1 << 18
 MAX_KNOWN_BYTES = 64
 LONG_WORD = 64
 BUCKETS = 1 << 17
 SURROGATES = 0xD800
-#: ends of a word, and no rank; beyond all ids
-END, NONE = "\U0010FFFE", "\U0010FFFD"
+#: ends of a word, no rank, and between the strings of a literal; beyond all ids
+END, NONE, BETWEEN = "\U0010FFFE", "\U0010FFFD", "\U0010FFFC"
 MAX_VOCABULARY_BYTES = 16 << 20
 NAME = "byte_bpe_50k.tiktoken"
 
@@ -87,9 +93,9 @@ class Vocabulary:
         return None if self.odd else frozenset(token[i:i + 2] for token in self.ranks for i in range(len(token) - 1))
 
     @cached_property
-    def early(self) -> list[str]:
+    def early(self) -> str:
         """The tokens that are the first or last part of a token of lower rank."""
-        return sorted({char(part) for a, b, rank in self.split for part in (a, b) if part > rank})
+        return "".join(sorted({char(part) for a, b, rank in self.split for part in (a, b) if part > rank}))
 
 
 def char(rank: int) -> str:
@@ -125,12 +131,13 @@ def public_vocabulary(name: str = NAME) -> Vocabulary:
 # --- literals ----------------------------------------------------------------
 
 def rank_literal(vocabulary: Vocabulary) -> Column:
-    """array<map<pair of parts, merged part>>, by CRC-32."""
-    table: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+    """array<string>, by CRC-32 of a pair of parts: NONE, and for each pair END, the
+    pair and the part that it makes."""
+    table = [NONE] * BUCKETS
     for a, b, rank in vocabulary.split:
         pair = char(a) + char(b)
-        table[zlib.crc32(pair.encode()) % BUCKETS][pair] = char(rank)
-    return F.from_json(F.lit(json.dumps(table, ensure_ascii=False, separators=(",", ":"))), "array<map<string,string>>")
+        table[zlib.crc32(pair.encode()) % BUCKETS] += END + pair + char(rank)
+    return F.split(F.lit(BETWEEN.join(table)), BETWEEN)
 
 
 def strings_literal(values: list[str]) -> Column:
@@ -145,8 +152,10 @@ def let(value: Column, then) -> Column:
 
 
 def rank_of(ranks: Column, pair: Column) -> Column:
-    """The part that two neighbours make, NONE if none."""
-    return F.coalesce(F.element_at(F.element_at(ranks, (F.crc32(pair) % BUCKETS).cast("int") + 1), pair), F.lit(NONE))
+    """The part that two neighbours make, NONE if none: the character after the pair,
+    or the first one of a string without it."""
+    bucket = F.get(ranks, (F.crc32(pair) % BUCKETS).cast("int"))
+    return F.left(F.call_function("substring_index", bucket, F.concat(F.lit(END), pair), F.lit(-1)), F.lit(1))
 
 
 def tail(text: Column, at: Column) -> Column:
@@ -188,7 +197,7 @@ def merged_parts(ranks: Column, early: Column, word: Column) -> Column:
     """A word, given as its bytes (a string of parts), after all merges."""
     def step(state: Column) -> Column:
         def merge(least: Column) -> Column:
-            at_once = (F.length(state["parts"]) > LONG_WORD) & ~F.array_contains(early, least)
+            at_once = (F.length(state["parts"]) > LONG_WORD) & (F.instr(early, least) == 0)
             return F.when(least == NONE, state).when(at_once, merge_all(ranks, state, least)).otherwise(merge_first(ranks, state, least))
 
         return let(F.array_min(F.split(state["pairs"], "")), merge)
@@ -198,11 +207,6 @@ def merged_parts(ranks: Column, early: Column, word: Column) -> Column:
                        lambda state: F.substring(state["parts"], F.lit(2), F.length(state["parts"]) - 2))
 
 
-def part_ids(parts: Column) -> Column:
-    """The ids of a string of parts."""
-    return F.transform(F.split(parts, ""), lambda c: let(F.ascii(c), lambda n: F.when(n < SURROGATES, n).otherwise(n - 0x800)))
-
-
 # --- texts ---------------------------------------------------------------------
 
 def splitter(pattern: str):
@@ -237,8 +241,28 @@ def count_words(pattern: str):
     return run
 
 
+@dataclass(frozen=True)
+class Known:
+    """The merged parts of words, as an Arrow stream; a table only where it is asked for."""
+
+    stream: bytes
+    odd: dict[str, str]
+
+    @cached_property
+    def words(self) -> dict[str, str]:
+        import pyarrow as pa
+
+        batches = pa.ipc.open_stream(self.stream) if self.stream else []
+        return {word: self.odd.get(word, parts) for batch in batches for word, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
+
+
 def known_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> dict[str, str]:
     """The merged parts of the most frequent words, at most ``KNOWN_WORDS`` of them."""
+    return known_stream(docs, vocabulary, text_col).words
+
+
+def known_stream(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> Known:
+    """``known_words`` as they are sent to the tasks."""
     sample = docs.select(F.col(text_col).cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
     counts = materialize(sample.mapInArrow(count_words(vocabulary.pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
                          .where("n > 1"), "words")
@@ -251,19 +275,22 @@ def known_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> dict[
             break
         least = row["class"]
     if least is None:
-        return {}
+        return Known(b"", {})
     to_parts = strings_literal([char(vocabulary.ranks[bytes([i])]) for i in range(256)])
     spelt = let(to_parts, lambda part: F.array_join(F.transform(F.sequence(F.lit(1), F.length(F.encode("word", "UTF-8"))), lambda i: F.get(
         part, F.conv(F.hex(F.substring(F.encode("word", "UTF-8"), i, F.lit(1))), 16, 10).cast("int"))), ""))
     frequent = counts.where(F.floor(F.log2("n") * 4) >= least).select("word", spelt.alias("bytes"))
-    folded = frequent.select("word", let(rank_literal(vocabulary), lambda ranks: merged_parts(ranks, strings_literal(vocabulary.early), F.col("bytes"))).alias("parts"))
+    folded = frequent.select("word", let(rank_literal(vocabulary), lambda ranks: merged_parts(ranks, F.lit(vocabulary.early), F.col("bytes"))).alias("parts"))
     odd = {t.decode("utf-8", "ignore"): char(vocabulary.ranks[t]) for t in vocabulary.odd}
-    table = folded.toArrow()
-    return {word: odd.get(word, parts) for batch in table.to_batches() for word, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
+    table, sink = folded.toArrow(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as stream:
+        stream.write_table(table)
+    return Known(sink.getvalue().to_pybytes(), odd)
 
 
 def distinct_words(vocabulary: Vocabulary, known, limit: int):
-    """An Arrow step: groups of whole texts as (ids, places, words), the words as
+    """An Arrow step: groups of whole texts as (ids, ends, places, words): the texts'
+    words by number, one after the other, where each text ends there, and the words as
     strings of parts, merged already or not."""
     pattern, pairs, odd = vocabulary.pattern, vocabulary.neighbours, vocabulary.odd
     tokens = {t: char(r) for t, r in vocabulary.ranks.items() if len(t) == 1 or len(t) > LONG_WORD or t in odd}
@@ -272,10 +299,9 @@ def distinct_words(vocabulary: Vocabulary, known, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from array import array
 
-        import numpy as np
         import pyarrow as pa
 
-        split, ready = splitter(pattern), known.value
+        split, ready = splitter(pattern), known.value.words
         words: list[str] = []
         done: list[bool] = []
         cut: list[list[int]] = []
@@ -306,14 +332,13 @@ def distinct_words(vocabulary: Vocabulary, known, limit: int):
 
         numbers = Numbers()
         ids: list[int | None] = []
-        places, ends, size = array("i"), [0], 0
+        places, ends, size = array("i"), [], 0
 
         def flush() -> pa.RecordBatch:
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(places, np.int32) if places else [], pa.int32()))
-            one = pa.array([0, len(ids)], pa.int32())
             found = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(done, pa.bool_())], ["parts", "done"])
-            out = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(one, pa.array(ids, pa.int64())), pa.ListArray.from_arrays(one, lists),
-                                              pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), found)], ["ids", "places", "words"])
+            out = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, pa.int64())),
+                                              pa.array([np.array(ends, "<i8").tobytes()], pa.binary()), pa.array([places.tobytes()], pa.binary()),
+                                              pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), found)], ["ids", "ends", "places", "words"])
             numbers.clear(), words.clear(), done.clear(), cut.clear(), ids.clear()
             return out
 
@@ -322,7 +347,7 @@ def distinct_words(vocabulary: Vocabulary, known, limit: int):
                 text = text.as_py() or ""
                 if ids and size + len(text) > limit:
                     yield flush()
-                    places, ends, size = array("i"), [0], 0
+                    places, ends, size = array("i"), [], 0
                 at = array("i", map(numbers.__getitem__, split(text)))
                 if cut and at and min(at) < 0:
                     at = array("i", (n for a in at for n in (cut[-1 - a] if a < 0 else (a,))))
@@ -336,27 +361,84 @@ def distinct_words(vocabulary: Vocabulary, known, limit: int):
     return run
 
 
-def per_text(docs: DataFrame, vocabulary: Vocabulary, of_word, of_text, id_col: str, text_col: str) -> DataFrame:
-    """(id, columns): ``of_word`` makes a value of the ids of each distinct word,
-    ``of_text`` columns of a text's words; it gets a function that maps a
-    function of such a value over the text's words, in their order."""
+def part_bytes(parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all strings of parts, and where each string ends among them."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(np.asarray(pc.utf8_length(parts)), dtype=np.int64)
+    codes = np.frombuffer("".join(parts.to_pylist()).encode("utf-32-le"), "<u4")
+    return np.where(codes < SURROGATES, codes, codes - np.uint32(0x800)), ends
+
+
+def binaries(data, ends: np.ndarray) -> pa.Array:
+    """Binaries that end at ``ends`` of ``data``, one after the other."""
+    import pyarrow as pa
+
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(data)])
+
+
+def taken(values: pa.Array, at) -> tuple[memoryview, np.ndarray]:
+    """The binaries at these places, joined, and where each one starts; the last start is the end."""
+    found = values.take(at)
+    _, starts, data = found.buffers()
+    starts = np.frombuffer(starts, np.int64)[found.offset:found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int64)
+    return memoryview(data if data is not None else b""), starts
+
+
+def text_rows(of_words, names: list[str]):
+    """An Arrow step: groups of texts, with the merged parts of their words, to one
+    row a text.  ``of_words`` gets the ids of a group's words and where each word
+    ends there; it makes a function of the places of some texts' words, and where
+    each text starts, to the columns of these texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, parts = batch.column(0)[row].values, batch.column(3)[row].values
+                ends, places = (np.frombuffer(batch.column(c)[row].as_buffer(), kind) for c, kind in ((1, "<i8"), (2, "<i4")))
+                columns = of_words(*part_bytes(parts))
+                starts, lo = np.concatenate([[0], ends]), 0
+                while lo < len(ids):
+                    hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + TEXT_WORDS, "right")))
+                    own = columns(pa.array(places[starts[lo]:starts[hi]]), starts[lo:hi + 1] - starts[lo])
+                    yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *own], names)
+                    lo = hi
+
+    return trimmed(run)
+
+
+def per_text(docs: DataFrame, vocabulary: Vocabulary, of_words, columns: str, id_col: str, text_col: str) -> DataFrame:
+    """(id, columns), which ``of_words`` makes of the ids of the distinct words of
+    a group and of the texts' words by number (see ``text_rows``)."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 20))  # the literals would fill the plans that the driver keeps as text
-    known = spark.sparkContext.broadcast(known_words(docs, vocabulary, text_col))
-    early = strings_literal(vocabulary.early)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(GROUP_BYTES))  # rows are groups
+    known = spark.sparkContext.broadcast(known_stream(docs, vocabulary, text_col))
+    early = F.lit(vocabulary.early)
     groups = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        distinct_words(vocabulary, known, GROUP_CHARS), "ids array<long>, places array<array<int>>, words array<struct<parts:string,done:boolean>>")
-    found = let(rank_literal(vocabulary), lambda ranks: F.transform("words", lambda w: let(
-        part_ids(F.when(w["done"], w["parts"]).otherwise(merged_parts(ranks, early, w["parts"]))), of_word)))
-    texts = let(found, lambda word: F.zip_with("ids", "places", lambda i, place: F.struct(
-        i.alias("_id"), *of_text(lambda value: F.transform(place, lambda at: value(F.get(word, at)))))))
-    rows = groups.select(F.inline(texts))
-    return rows.select(F.col("_id").alias(id_col), *rows.columns[1:])
+        trimmed(distinct_words(vocabulary, known, GROUP_CHARS)), "ids array<long>, ends binary, places binary, words array<struct<parts:string,done:boolean>>")
+    found = let(rank_literal(vocabulary), lambda ranks: F.transform("words", lambda w: F.when(w["done"], w["parts"]).otherwise(
+        merged_parts(ranks, early, w["parts"]))))
+    names = [column.split()[0] for column in columns.split(", ")]
+    return groups.select("ids", "ends", "places", found.alias("parts")).mapInArrow(
+        text_rows(of_words, ["_id", *names]), f"_id long, {columns}").select(F.col("_id").alias(id_col), *names)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every row's whole text."""
-    return per_text(docs, vocabulary, lambda ids: ids, lambda words: [F.flatten(words(lambda ids: ids)).alias("ids")], id_col, text_col)
+    def of_words(ids: np.ndarray, ends: np.ndarray):
+        import pyarrow as pa
+
+        packed = binaries(ids.astype("<u4"), 4 * ends)
+
+        def columns(places: pa.Array, starts: np.ndarray) -> list[pa.Array]:
+            data, at = taken(packed, places)
+            return [pa.ListArray.from_arrays(pa.array(at[starts] >> 2, pa.int32()), pa.array(np.frombuffer(data, "<i4")[:at[-1] >> 2]))]
+
+        return columns
+
+    return per_text(docs, vocabulary, of_words, "ids array<int>", id_col, text_col)
 
 
 def piece_list(vocabulary: Vocabulary) -> list[bytes]:
@@ -392,15 +474,33 @@ def little_endian(vocabulary: Vocabulary, ids: Column) -> Column:
     return to_bytes(joined(packed_list(vocabulary), ids))
 
 
+def digests(vocabulary: Vocabulary):
+    """Token counts, and the digests of the packed ids and of the decoded bytes; the
+    ids of each distinct word are packed and decoded once."""
+    pieces = piece_list(vocabulary)
+
+    def of_words(ids: np.ndarray, ends: np.ndarray):
+        import hashlib
+
+        import pyarrow as pa
+
+        packed = binaries(ids.astype("<u4"), 4 * ends)
+        spelt, at = taken(pa.array(pieces, pa.large_binary()), pa.array(ids))
+        decoded = binaries(spelt, at[ends])
+
+        def columns(places: pa.Array, starts: np.ndarray) -> list[pa.Array]:
+            def digest(data: memoryview, cuts: list[int]) -> pa.Array:
+                return pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:], strict=False)], pa.string())
+
+            (data, at), (text, text_at) = taken(packed, places), taken(decoded, places)
+            return [pa.array(np.diff(at[starts]) >> 2), digest(data, at[starts].tolist()), digest(text, text_at[starts].tolist())]
+
+        return columns
+
+    return of_words
+
+
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ids of each distinct word are packed and decoded once; a text's bytes
-    are those of its words, one after the other."""
     vocabulary = public_vocabulary()
-    pieces, packed = piece_list(vocabulary), packed_list(vocabulary)
-    whole = lambda words, name: to_bytes(F.array_join(words(lambda w: w[name]), ""))
-    return per_text(
-        read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary,
-        lambda ids: F.struct(F.size(ids).alias("n"), joined(packed, ids).alias("packed"), joined(pieces, ids).alias("decoded")),
-        lambda words: [F.aggregate(words(lambda w: w["n"]), F.lit(0).cast("long"), lambda a, n: a + n).alias("n_tokens"),
-                       F.sha2(whole(words, "packed"), 256).alias("ids_sha256"), F.sha2(whole(words, "decoded"), 256).alias("decoded_sha256")],
-        "doc_id", "text")
+    return per_text(read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary, digests(vocabulary),
+                    "n_tokens long, ids_sha256 string, decoded_sha256 string", "doc_id", "text")

@@ -85,3 +85,27 @@ def test_query(spark, library):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_texts_are_put_together_in_parts(spark, vocabulary, library, monkeypatch):
+    """A group's texts in blocks of a few words give the same digests, rows and counts."""
+    monkeypatch.setattr(B, "TEXT_WORDS", 3)
+    texts = hard_texts() + ["a b c d e f", "", "a b c d e f"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = B.per_text(docs, vocabulary, B.digests(vocabulary), "n_tokens long, ids_sha256 string, decoded_sha256 string", "doc_id", "text").collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(texts)))
+    for r in got:
+        ids = library.encode_ordinary(texts[r.doc_id] or "")
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_known_words_travel_packed(spark, vocabulary, monkeypatch):
+    """The driver keeps and sends one binary, no Python string for a word; ranks are short strings."""
+    monkeypatch.setattr(B, "SAMPLE", 1)
+    docs = spark.createDataFrame([(1, "the quick qwzrt the qwzrt")], "doc_id long, text string")
+    known = B.known_stream(docs, vocabulary, "text")
+    assert isinstance(known.stream, bytes) and "words" not in vars(known)
+    assert set(known.words) == {" qwzrt"}
+    assert spark.range(1).select(B.rank_literal(vocabulary).alias("r")).schema["r"].dataType.simpleString() == "array<string>"
