@@ -38,10 +38,11 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -209,12 +210,29 @@ def merged_parts(ranks: Column, early: Column, word: Column) -> Column:
 
 # --- texts ---------------------------------------------------------------------
 
+@lru_cache(maxsize=2)
 def splitter(pattern: str):
     """The word split; \\s as in the tokenizer's own engine, which is the property
-    White_Space and holds no control characters."""
+    White_Space and holds no control characters.  Texts without characters past
+    U+FFFF are split by Python's own engine with the properties spelt out, which
+    takes half the time; patterns with other escapes or groups don't have it."""
     import regex
 
-    return regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
+    pattern = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
+    wide = regex.compile(pattern).findall
+    if re.search(r"\\[^pP]|\(\?[^!=:]|\[\[", pattern):
+        return wide
+    chars = "".join(map(chr, [*range(SURROGATES), *range(0xE000, 0x10000)]))
+    out, inside = [], False
+    for item in re.findall(r"\\[pP]\{\w+\}|.", pattern, re.DOTALL):
+        if item[0] == "\\":
+            spelt = "".join(f"\\u{ord(run[0]):04x}-\\u{ord(run[-1]):04x}" for run in regex.findall(f"{item}+", chars))
+            out.append(spelt if inside else f"[{spelt}]")
+        else:
+            inside = item == "[" or inside and item != "]"
+            out.append(item)
+    narrow, past = re.compile("".join(out)).findall, re.compile("[\U00010000-\U0010FFFF]").search
+    return lambda text: wide(text) if past(text) else narrow(text)
 
 
 def count_words(pattern: str):
@@ -337,7 +355,7 @@ def distinct_words(vocabulary: Vocabulary, known, limit: int):
         def flush() -> pa.RecordBatch:
             found = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(done, pa.bool_())], ["parts", "done"])
             out = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, pa.int64())),
-                                              pa.array([np.array(ends, "<i8").tobytes()], pa.binary()), pa.array([places.tobytes()], pa.binary()),
+                                              one_binary(np.array(ends, "<i8")), one_binary(np.array(places, "<i4", copy=None)),
                                               pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), found)], ["ids", "ends", "places", "words"])
             numbers.clear(), words.clear(), done.clear(), cut.clear(), ids.clear()
             return out
@@ -377,6 +395,13 @@ def binaries(data, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(data)])
 
 
+def one_binary(data: np.ndarray) -> pa.Array:
+    """The numbers as one binary, not copied."""
+    import pyarrow as pa
+
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, data.nbytes], np.int32)), pa.py_buffer(data)])
+
+
 def taken(values: pa.Array, at) -> tuple[memoryview, np.ndarray]:
     """The binaries at these places, joined, and where each one starts; the last start is the end."""
     found = values.take(at)

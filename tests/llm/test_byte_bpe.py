@@ -109,3 +109,17 @@ def test_known_words_travel_packed(spark, vocabulary, monkeypatch):
     assert isinstance(known.stream, bytes) and "words" not in vars(known)
     assert set(known.words) == {" qwzrt"}
     assert spark.range(1).select(B.rank_literal(vocabulary).alias("r")).schema["r"].dataType.simpleString() == "array<string>"
+
+
+def test_split_with_the_properties_spelt_out(vocabulary):
+    """Both engines split alike, and texts past U+FFFF take the one that knows the properties."""
+    import regex
+
+    white = vocabulary.pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
+    split, wide = B.splitter(vocabulary.pattern), regex.compile(white).findall
+    assert getattr(split, "__name__", "") == "<lambda>"
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    texts = [t for t in hard_texts() if t] + [every, " ".join(every), "  ".join(every), "a𝒜b 𐒠 ١𝟏 x", "a\u3000\u2028 b\x1c\x85 "]
+    for text in texts:
+        assert split(text) == wide(text)
+    assert B.splitter(r"(?i:a)|\w").__name__ == "findall"
