@@ -5,6 +5,11 @@ pruned and no file body is read; bytes are read only where a job needs them
 (the UTF-8 probe), with the size limit pushed down to the scan.
 ``recursiveFileLookup`` turns partition discovery off, so folder names never
 become columns by accident.
+
+``binaryFile`` keeps an entry for every file in the driver.  So a tree in a store
+that is mounted as a folder is listed by tasks, level by level, into a table, and
+tasks read the files of that table; the files and names are those of ``binaryFile``.
+Other stores and patterns get ``binaryFile``.
 """
 
 from __future__ import annotations
@@ -19,8 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import urls as U
+from quire.operators.common import sized
 
 LISTING_DDL = "path string, name string, size bigint, doc_type string"
+#: names, and bytes of files, that a task sends at a time
+NAMES_AT_ONCE, BYTES_AT_ONCE = 8192, 8 << 20
 
 
 def local_path(c: F.Column) -> F.Column:
@@ -28,7 +36,72 @@ def local_path(c: F.Column) -> F.Column:
     return F.regexp_replace(c, r"^file:(//)?(?=/)", "")
 
 
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """The folder as tasks see it; None in another store and for a pattern."""
+    local = path.startswith("file:") or not re.match(r"\w+:", path) and (
+        spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:").startswith("file:")
+    folder = _shown_root(path).rstrip("/")
+    return folder if local and not re.search(r"[\\{}\[\]*?]", path) and os.path.isabs(folder) and os.path.isdir(folder) else None
+
+
+def _pattern(glob: str | None) -> str:
+    """The regular expression of a pattern of names."""
+    return ".*" if glob is None else re.sub(r"[.*?{},]|[^\w\[\]]", lambda m: {"*": ".*", "?": ".", "{": "(?:", "}": ")", ",": "|"}.get(m[0], re.escape(m[0])), glob)
+
+
+def _tree(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
+    """(path, length) of the files below a mounted folder that ``binaryFile`` would
+    read: not empty, and neither they nor their folders hidden."""
+    named = _pattern(glob)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        def send(rows):
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([d for _, d in rows], pa.bool_())], ["path", "folder"])
+
+        rows: list[tuple[str, bool]] = []
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                with os.scandir(folder) as found:
+                    for e in found:
+                        if e.name.startswith(".") or e.name.endswith("._COPYING_"):
+                            continue
+                        deep, special = e.is_dir(), e.name.startswith("_") and "=" not in e.name
+                        if not special and (deep or re.fullmatch(named, e.name)) or deep and e.name.startswith(("_metadata", "_common_metadata")):
+                            rows.append((e.path, deep))
+                        if len(rows) >= NAMES_AT_ONCE:
+                            yield send(rows)
+                            rows = []
+        yield send(rows)
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    rows.append((path, os.stat(path).st_size))
+                except FileNotFoundError:  # a link to nothing
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["path", "length"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders, files = spark.createDataFrame([(root,)], "path string"), None
+    while True:
+        level = sized(folders.mapInArrow(entries, "path string, folder boolean"), "names")
+        own = level.where("not folder").select("path")
+        files = own if files is None else files.unionByName(own)
+        folders = level.where("folder").select("path").repartition(n)
+        if level.where("folder").isEmpty():
+            return sized(files.repartition(n).mapInArrow(sizes, "path string, length bigint").where("length > 0"), "listing")
+
+
 def _scan(spark: SparkSession, path: str, glob: str | None, recursive: bool) -> DataFrame | None:
+    folder = _mounted(spark, path) if recursive else None
+    if folder is not None:
+        return _tree(spark, folder, glob)
     r = spark.read.format("binaryFile")
     if recursive:
         r = r.option("recursiveFileLookup", "true")
@@ -152,9 +225,34 @@ def write_text_files(rows: DataFrame, path: str) -> None:
     rows.select("doc_type", F.col("value").cast("binary")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
+def _contents(files: DataFrame) -> DataFrame:
+    """files(path, length) of a mounted folder -> (path, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        rows, size = [], 0
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with open(path, "rb") as f:
+                    rows.append((path, f.read()))
+                size += len(rows[-1][1])
+                if size >= BYTES_AT_ONCE or len(rows) >= NAMES_AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary()), strict=True)], ["path", "content"])
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary()), strict=True)], ["path", "content"])
+
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("path").repartition(n).mapInArrow(run, "path string, content binary")
+
+
 def read_bodies(spark: SparkSession, path: str, max_bytes: int, glob: str | None = None, recursive: bool = False) -> DataFrame | None:
     """(path, content) of the files up to ``max_bytes``, a filter that the scan
     itself applies; None where there is no such folder."""
+    folder = _mounted(spark, path) if recursive else None
+    if folder is not None:
+        return _contents(_tree(spark, folder, glob).where(F.col("length") <= F.lit(max_bytes)))
     r = spark.read.format("binaryFile")
     if recursive:
         r = r.option("recursiveFileLookup", "true")

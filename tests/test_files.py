@@ -5,8 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import files as V
+from quire.sources import files as FS
 from quire.sources.files import gather_upload_inputs, scan_corpus_files, scan_corpus_files_of_type, scan_local_files, write_text_files
 
+from .conftest import formatted
+
 
 def make_files(tmp_path):
     d = tmp_path / "in"
@@ -152,3 +155,25 @@ def test_text_files_are_those_of_the_text_writer(spark, tmp_path):
     assert sum(p.is_file() for p in (tmp_path / "own").rglob("*")) == 7
     write_text_files(df.limit(0), "file:" + str(tmp_path / "none"))
     assert scan_corpus_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_tasks_list_and_read_a_mounted_tree(spark, tmp_path):
+    """Same files, sizes and bytes as ``binaryFile``, whose index of the files would be in the driver."""
+    root = tmp_path / "a b%20é"
+    for name in ("x.txt", "doc_type=a/y.txt", "doc_type=a/deep/er/z.txt", "_k=1/in.txt", "_k=1.txt", "_no/n.txt", "_no.txt", ".h/n.txt", ".h.txt", "d/.part.txt", "d/e.txt",
+                 "d/m.TXT", "d/m.Md", "d/m.md.bak", "d/c.txt._COPYING_", "_metadata/f.txt", "d/_metadata.txt", "d/(1)+[2]{3},4.txt", "d.txt/f.txt", "empty.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"" if name == "empty.txt" else name.encode() * 3)
+    (root / "link.txt").symlink_to(root / "x.txt")
+    (root / "gone.txt").symlink_to(root / "nothing")
+    for at in (str(root), f"file:{root}/", f"file://{root}"):
+        for glob in ("*.txt", "*.{[tT][xX][tT],[mM][dD]}", None):
+            r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+            want = (r.option("pathGlobFilter", glob) if glob else r).load(at).collect()
+            want = sorted((x.path.removeprefix("file:"), x.length, bytes(x.content)) for x in want)
+            listing, bodies = FS._scan(spark, at, glob, True), FS.read_bodies(spark, at, 1 << 20, glob, True)
+            assert "binaryFile" not in formatted(listing) and "binaryFile" not in formatted(bodies)
+            assert sorted(tuple(x) for x in listing.collect()) == [x[:2] for x in want]
+            assert sorted((x.path, bytes(x.content)) for x in bodies.collect()) == [(p, c) for p, _, c in want]
+    assert {x.path for x in FS.read_bodies(spark, str(root), 20, "*.txt", True).collect()} == {f"{root}/{n}" for n in ("x.txt", "link.txt")}
+    assert FS._mounted(spark, "hdfs://h/x") is None and FS._mounted(spark, str(root / "*")) is None and FS._scan(spark, str(tmp_path / "none"), None, True) is None
